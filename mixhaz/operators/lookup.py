@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mixhaz.operators.prefix import PIECE, cut
+from mixhaz.operators.prefix import PIECE, with_piece
 
 
 def asof(
@@ -30,11 +30,11 @@ def asof(
     grid_on = grid_on or on
     held = F.struct(*[F.col(v) for v in values])
     # rename out of the way: query and grid columns may share names
-    grid_rows = grid.select(*keys, F.col(grid_on).cast("double").alias("_at"), held.alias("_held"))
+    grid_rows = grid.select(*keys, F.col(grid_on).cast("double").alias("_at"), held.alias("_held")).persist()
     ask = queries.select(*keys, F.col(on).cast("double").alias("_at")).distinct()
     ask = ask.select("*", F.lit(None).cast(grid_rows.schema["_held"].dataType).alias("_held"))
     both = grid_rows.withColumn("_asks", F.lit(0)).unionByName(ask.withColumn("_asks", F.lit(1)))
-    both = cut(both, "_at", source=grid_rows)
+    both = with_piece(both, "_at", grid_rows)
 
     group = [*keys, PIECE]
     # a grid row comes before the query at the same value, in either direction
@@ -43,11 +43,13 @@ def asof(
     found = both.withColumn("_hit", F.last("_held", ignorenulls=True).over(inside)).where("_asks = 1")
 
     pick = F.min_by if forward else F.max_by
-    held_only = F.when(F.col("_asks") == 0, F.col("_at"))
-    edge = both.groupBy(*group).agg(pick("_held", held_only).alias("_edge"))
+    edge = with_piece(grid_rows, "_at", grid_rows).groupBy(*group).agg(pick("_held", "_at").alias("_edge"))
     piece_dir = F.col(PIECE).desc() if forward else F.col(PIECE).asc()
     earlier = W.partitionBy(*(keys or [F.lit(0)])).orderBy(piece_dir).rowsBetween(W.unboundedPreceding, -1)
-    carry = edge.select(*group, F.last("_edge", ignorenulls=True).over(earlier).alias("_carry"))
+    # a piece without grid rows still needs its carry, so the pieces of the queries join in
+    spots = found.select(*group).distinct().withColumn("_edge", F.lit(None).cast(edge.schema["_edge"].dataType))
+    edges = edge.unionByName(spots).groupBy(*group).agg(F.first("_edge", ignorenulls=True).alias("_edge"))
+    carry = edges.select(*group, F.last("_edge", ignorenulls=True).over(earlier).alias("_carry"))
 
     hits = found.join(carry, group).select(
         *keys, "_at", F.coalesce("_hit", "_carry").alias("_hit")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from mixhaz.functions.exprs import hash_uniform
 
 PIECE = "_piece"
+SMALL_TABLE = 100_000
 
 
 def piece_count(df: DataFrame) -> int:
@@ -26,13 +27,21 @@ def piece_count(df: DataFrame) -> int:
 def cut(df: DataFrame, order: str, source: DataFrame | None = None) -> DataFrame:
     """Add `_piece`, a non-decreasing function of `order` with about equal row counts.
 
-    The boundaries are one aggregate of `source` (default: `df` itself), read by
-    the plan as a scalar subquery; no action runs here.
+    `source` (default: `df`) is a persisted table with the same spread of `order`. It
+    is counted first: below SMALL_TABLE rows one task can order everything, no pieces
+    are needed and `df` comes back unchanged. Otherwise the boundaries are one
+    aggregate of `source`, read by the plan as a scalar subquery.
     """
-    n = piece_count(df)
     src = df if source is None else source
+    if src.count() <= SMALL_TABLE:
+        return df
+    return with_piece(df, order, src)
+
+
+def with_piece(df: DataFrame, order: str, source: DataFrame) -> DataFrame:
+    n = piece_count(df)
     fractions = F.array(*[F.lit(i / n) for i in range(1, n)])
-    bounds = src.agg(
+    bounds = source.agg(
         F.percentile_approx(F.col(order).cast("double"), fractions, F.lit(10_000)).alias("b")
     ).scalar()
     x = F.col(order).cast("double")
@@ -55,13 +64,16 @@ def running_totals(
 ) -> DataFrame:
     """Add inclusive running sums along `order` within `keys`.
 
-    `df` carries `_piece` (see `cut`); rows are unique on (keys, order), i.e. ties
-    were aggregated first. `_piece` is kept, so further running sums over the same
-    cut need no new shuffle of the rows.
+    `df` comes from `cut`: with `_piece`, or without it if it is known to be small.
+    Rows are unique on (keys, order), i.e. ties were aggregated first. `_piece` is
+    kept, so further running sums over the same cut need no new shuffle of the rows.
     """
-    group = [*keys, PIECE]
     exprs = {out: (F.col(c) if isinstance(c, str) else c) for out, c in totals.items()}
     direction = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    if PIECE not in df.columns:
+        whole = W.partitionBy(*(keys or [F.lit(0)])).orderBy(*direction).rowsBetween(W.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(e).over(whole).alias(o) for o, e in exprs.items()])
+    group = [*keys, PIECE]
     inside = W.partitionBy(*group).orderBy(*direction).rowsBetween(W.unboundedPreceding, 0)
     local = df.select("*", *[F.sum(e).over(inside).alias(f"_in_{o}") for o, e in exprs.items()])
 

@@ -23,6 +23,8 @@ TINY_HAZARD = 1e-12
 
 
 def _expr(x: Column | str) -> Column:
+    if isinstance(x, (int, float)):
+        return F.lit(float(x))
     return F.col(x) if isinstance(x, str) else x
 
 
@@ -33,7 +35,7 @@ def clean_weight(w: Column) -> Column:
 
 
 def time_table(
-    df: DataFrame, event_weight: Column | str = "status", risk_weight: Column | str = F.lit(1.0),
+    df: DataFrame, event_weight: Column | str = "status", risk_weight: Column | str | float = 1.0,
     keys: Sequence[str] = (), time: str = "time", status: str = "status",
 ) -> DataFrame:
     """One row per distinct time: event weight, risk weight in the risk set, event count.
