@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mixhaz.functions.exprs import col
 from mixhaz.operators.prefix import PIECE, with_piece
 
 
@@ -55,4 +56,4 @@ def asof(
         *keys, "_at", F.coalesce("_hit", "_carry").alias("_hit")
     )
     out = queries.withColumn("_at", F.col(on).cast("double")).join(hits, [*keys, "_at"], "left")
-    return out.select(*queries.columns, *[F.col("_hit").getField(v).alias(v) for v in values])
+    return out.select(*[col(c) for c in queries.columns], *[F.col("_hit").getField(v).alias(v) for v in values])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mixhaz.functions.exprs import hash_uniform
+from mixhaz.functions.exprs import col, hash_uniform
 
 PIECE = "_piece"
 SMALL_TABLE = 100_000
@@ -85,13 +85,17 @@ def running_totals(
     )
     out = local.join(offsets, group)
     return out.select(
-        *df.columns, *[(F.col(f"_in_{o}") + F.col(f"_off_{o}")).alias(o) for o in exprs]
+        *[col(c) for c in df.columns], *[(F.col(f"_in_{o}") + F.col(f"_off_{o}")).alias(o) for o in exprs]
     )
 
 
-def hash_rank(df: DataFrame, seed, ident: str, keys: Sequence[str] = (), out: str = "pos") -> DataFrame:
-    """1-based rank of every row in hashed order within `keys`: a reproducible shuffle."""
-    drawn = cut_uniform(df.withColumn("_u", hash_uniform(seed, ident)), "_u")
+def hash_rank(df: DataFrame, seed, ident: str, keys: Sequence[str] = (), out: str = "pos",
+              hashed: Sequence[str] | None = None) -> DataFrame:
+    """1-based rank of every row in hashed order within `keys`: a reproducible shuffle.
+
+    `hashed` names the columns that enter the hash (default: the identifier alone).
+    """
+    drawn = cut_uniform(df.withColumn("_u", hash_uniform(seed, *(hashed or [ident]))), "_u")
     ranked = running_totals(drawn, ["_u", ident], {out: F.lit(1)}, keys)
     return ranked.drop("_u", PIECE)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,10 @@ from mixhaz.operators.prefix import hash_rank
 from mixhaz.operators.survival import inverse_hazard_draw, inverse_survival_draw
 
 
-def stratified_folds(df: DataFrame, nfolds: int, seed, ident: str = "id", status: str = "status") -> DataFrame:
+def stratified_folds(df: DataFrame, nfolds: int, seed, ident: str = "id", status: str = "status",
+                     keys: Sequence[str] = ()) -> DataFrame:
     """Balanced fold labels 1..nfolds, shuffled separately among events and censored rows."""
-    ranked = hash_rank(df, seed, ident, [status], "_pos")
+    ranked = hash_rank(df, seed, ident, [*keys, status], "_pos")
     return ranked.withColumn("fold", ((F.col("_pos") - 1) % nfolds + 1).cast("int")).drop("_pos")
 
 
@@ -22,11 +25,12 @@ def balanced_labels(df: DataFrame, k: int, seed, ident: str = "id", out: str = "
     return ranked.withColumn(out, ((F.col("_pos") - 1) % k).cast("int")).drop("_pos")
 
 
-def permute_outcome(df: DataFrame, seed, ident: str = "id") -> DataFrame:
+def permute_outcome(df: DataFrame, seed, ident: str = "id", keys: Sequence[str] = ()) -> DataFrame:
     """Every row keeps its features and takes the (time, status) of a randomly matched row."""
-    takes = hash_rank(df.drop("time", "status"), f"{seed}t", ident, (), "_pos")
-    gives = hash_rank(df.select(ident, "time", "status"), f"{seed}g", ident, (), "_pos").drop(ident)
-    return takes.join(gives, "_pos").drop("_pos")
+    hashed = [*keys, ident]
+    takes = hash_rank(df.drop("time", "status"), f"{seed}t", ident, keys, "_pos", hashed)
+    gives = hash_rank(df.select(*keys, ident, "time", "status"), f"{seed}g", ident, keys, "_pos", hashed).drop(ident)
+    return takes.join(gives, [*keys, "_pos"]).drop("_pos")
 
 
 def bootstrap_outcome(
