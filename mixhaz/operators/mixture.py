@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixhaz.functions.exprs import gaussian_log, log_sum_exp, replace_bad, total
+from mixhaz.functions.exprs import col, gaussian_log, log_sum_exp, replace_bad, total
 
 
 def inverse_factor(sigma, ridge: float) -> np.ndarray:
@@ -38,6 +38,24 @@ def sanitise(parts: Sequence[Column]) -> list[Column]:
     return [replace_bad(p) for p in parts]
 
 
+def add_memberships(df: DataFrame, parts: Sequence[Column], temp: float = 1.0, floor: float = 1e-12,
+                    prefix: str = "tau_", score: str | None = None) -> DataFrame:
+    """Add softmax weights `prefix`1..K of the evidence, and optionally the row objective.
+
+    Written as a chain of small projections: each value is computed once and then
+    referred to, instead of being repeated inside one large expression.
+    """
+    ks = range(len(parts))
+    keep = [col(c) for c in df.columns]
+    step = df.select("*", *[p.alias(f"_l{k}") for k, p in enumerate(parts)])
+    step = step.select("*", *[(replace_bad(F.col(f"_l{k}")) / F.lit(float(temp))).alias(f"_s{k}") for k in ks])
+    step = step.withColumn("_lse", log_sum_exp([F.col(f"_s{k}") for k in ks]))
+    step = step.select("*", *[F.greatest(F.exp(F.col(f"_s{k}") - F.col("_lse")), F.lit(floor)).alias(f"_r{k}") for k in ks])
+    step = step.withColumn("_mass", total([F.col(f"_r{k}") for k in ks]))
+    extra = [] if score is None else [(F.col("_lse") * F.lit(float(temp))).alias(score)]
+    return step.select(*keep, *[(F.col(f"_r{k}") / F.col("_mass")).alias(f"{prefix}{k + 1}") for k in ks], *extra)
+
+
 def mixing_weights(df: DataFrame, tau: Sequence[str], floor: float = 0.02) -> DataFrame:
     """Mean membership weights, floored and renormalised (so one may end below the floor)."""
     means = df.agg(*[F.greatest(F.avg(t), F.lit(floor)).alias(f"p{k}") for k, t in enumerate(tau)])
