@@ -53,6 +53,23 @@ def cluster_health(df: DataFrame, cluster: str, tau: Sequence[str], k: int, keys
     return out.withColumn("degenerate", (F.col("min_size") < 10) | (F.col("min_events") < 5))
 
 
+def profile_direction(df: DataFrame, features: Sequence[str], group: str, pair=(1, 2)) -> DataFrame:
+    """Unit direction of the difference between two groups' feature means, one row per feature."""
+    a, b = pair
+    diffs = [F.avg(F.when(F.col(group) == b, F.col(x))) - F.avg(F.when(F.col(group) == a, F.col(x))) for x in features]
+    one = df.agg(*[d.alias(f"d{j}") for j, d in enumerate(diffs)])
+    norm = F.sqrt(sum((F.col(f"d{j}") ** 2 for j in range(len(features))), F.lit(0.0)))
+    cells = [F.struct(F.lit(x).alias("feature"), (F.col(f"d{j}") / norm).alias("direction")) for j, x in enumerate(features)]
+    return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
+def events_per_coefficient(df: DataFrame, group: str, p: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Events of each subgroup, the smallest, per coefficient, and the overall event rate."""
+    per = df.groupBy(*keys, group).agg(F.sum("status").alias("e"), F.count("*").alias("n"))
+    return per.groupBy(*keys).agg(F.min("e").alias("events_sub_min"), (F.min("e") / F.lit(p)).alias("events_per_coef"),
+                                  (F.sum("e") / F.sum("n")).alias("realized_rate"))
+
+
 def random_floor(p: Column | float):
     """Expected |cos| of two random directions in p dimensions."""
     if isinstance(p, Column):

@@ -91,6 +91,14 @@ def verdicts(diffs: DataFrame, by: Sequence[str]) -> DataFrame:
         .otherwise("matches").alias("verdict"))
 
 
+def decision_rule(diffs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Roll paired differences of several cells up: cells clearly worse, and whether the mean is clearly off zero."""
+    worse = F.count_if(F.col("diff") < -2 * F.col("diff_mcse"))
+    got = diffs.groupBy(*by).agg(F.count("*").alias("cells"), worse.alias("worse"), F.avg("diff").alias("mean_diff"),
+                                 (2 * F.sqrt(F.sum(F.col("diff_mcse") ** 2)) / F.count("*")).alias("margin"))
+    return got.withColumn("adopt", (F.col("worse") == 0) & (F.col("mean_diff") >= -F.col("margin")))
+
+
 def rejection_rates(long: DataFrame, by: Sequence[str], pval: str = "pval", level: float = 0.05) -> DataFrame:
     """Share of p-values at or below the level, its error, and the upper acceptance limit."""
     valid = long.where(F.col(pval).isNotNull()).groupBy(*by).agg(
@@ -119,9 +127,12 @@ def best_row(rows: DataFrame, by: Sequence[str], score: str, tie: str) -> DataFr
 
 
 def histogram(df: DataFrame, x: str, bins: int = 20, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """Counts in equal bins, right-closed, the first including its lower end."""
+    """Counts in equal bins, right-closed, the first including its lower end.
+
+    A value that equals an edge up to rounding noise counts as lying on the edge.
+    """
     width = (high - low) / bins
-    bin_ = F.greatest(F.ceil((F.col(x) - low) / F.lit(width)), F.lit(1)).cast("int")
+    bin_ = F.greatest(F.ceil(F.round((F.col(x) - low) / F.lit(width), 7)), F.lit(1)).cast("int")
     return df.where(F.col(x).between(low, high)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 

@@ -691,7 +691,7 @@ def q_rejection(spark, sf):
     return g.select("cell", "null_kind", "n", r("rate"), r("rate_mcse"), r("upper"), "ok")
 
 
-@query("pvalue_histogram", f"WITH {_PV} SELECT greatest(ceil(pval / 0.05), 1)::INTEGER AS bin, count(*) AS n FROM pl WHERE pval BETWEEN 0 AND 1 GROUP BY 1")
+@query("pvalue_histogram", f"WITH {_PV} SELECT greatest(ceil(round(pval / 0.05, 7)), 1)::INTEGER AS bin, count(*) AS n FROM pl WHERE pval BETWEEN 0 AND 1 GROUP BY 1")
 def q_hist(spark, sf):
     return summaries.histogram(_pvalues(spark, sf), "pval")
 
@@ -977,3 +977,69 @@ def q_study(spark, sf):
     got = _quiet(run_study, rows, cells, 5, **QUICK)
     floats = {"recovery", "ari", "mse_eta", "sharpness", "contrast_norm", "min_eff_size", "min_eff_events"}
     return got.select(*[r(c, 4) if c in floats else F.col(c) for c in got.columns])
+
+
+# ---------------------------------------------------------------- further steps and roll-ups
+
+_GATE = ((0.2, -0.2), {"z_price": (0.5, -0.5), "z_lines": (-0.3, 0.3), "z_disc": (0.1, -0.1)})
+
+
+@query("gate_probabilities", f"""WITH {SCALED}, g AS (SELECT id, {_GATE[0][0]} + {' + '.join(f'({b[0]}) * {z}' for z, b in _GATE[1].items())} AS a,
+ {_GATE[0][1]} + {' + '.join(f'({b[1]}) * {z}' for z, b in _GATE[1].items())} AS b FROM z)
+SELECT id, round(1 / (1 + exp(b - a)), 6) AS p_1, round(1 / (1 + exp(a - b)), 6) AS p_2 FROM g""")
+def q_gate(spark, sf):
+    z = [F.col(c) for c in _GATE[1]]
+    lin = [F.lit(_GATE[0][k]) + X.dot(z, [b[k] for b in _GATE[1].values()]) for k in range(2)]
+    out = mixture.add_memberships(scaled(spark, sf), lin, prefix="p_")
+    return out.select("id", r("p_1"), r("p_2"))
+
+
+@query("profile_direction", f"""WITH {TAU}, h AS (SELECT *, CASE WHEN tau1 >= tau2 THEN 1 ELSE 2 END AS c FROM tau),
+m AS (SELECT {", ".join(f"avg({z}) FILTER (c = 2) - avg({z}) FILTER (c = 1) AS {z}" for z in CLUSTER_FEATURES)} FROM h),
+n AS (SELECT *, sqrt({" + ".join(f"{z} * {z}" for z in CLUSTER_FEATURES)}) AS norm FROM m) """ + " UNION ALL ".join(
+    f"SELECT '{z}' AS feature, round({z} / norm, 6) AS direction FROM n" for z in CLUSTER_FEATURES))
+def q_profile(spark, sf):
+    m = memberships(spark, sf).withColumn("c", X.first_argmax([F.col("tau1"), F.col("tau2")]))
+    return metrics.profile_direction(m, CLUSTER_FEATURES, "c").select("feature", r("direction"))
+
+
+@query("events_per_coefficient", f"""WITH {TAU}, h AS (SELECT CASE WHEN tau1 >= tau2 THEN 1 ELSE 2 END AS c, sum(status) AS e, count(*) AS n FROM tau GROUP BY 1)
+SELECT min(e)::BIGINT AS events_sub_min, round(min(e) / 4.0, 6) AS events_per_coef, round(sum(e)::DOUBLE / sum(n), 6) AS realized_rate FROM h""")
+def q_epc(spark, sf):
+    m = memberships(spark, sf).withColumn("c", X.first_argmax([F.col("tau1"), F.col("tau2")]))
+    return metrics.events_per_coefficient(m, "c", 4).select("events_sub_min", r("events_per_coef"), r("realized_rate"))
+
+
+@query("decision_rule", f"""WITH {_DIFFS}, g AS (SELECT comparator, count(*) AS cells, count_if(diff < -2 * diff_mcse)::BIGINT AS worse, avg(diff) AS m, 2 * sqrt(sum(diff_mcse * diff_mcse)) / count(*) AS margin FROM pd GROUP BY 1)
+SELECT comparator, cells, worse, round(m, 6) AS mean_diff, round(margin, 6) AS margin, worse = 0 AND m >= -margin AS adopt FROM g""")
+def q_rule(spark, sf):
+    g = summaries.decision_rule(_diffs(spark, sf), ["comparator"])
+    return g.select("comparator", "cells", "worse", r("mean_diff"), r("margin"), "adopt")
+
+
+@query("row_pick", f"""WITH {WIDE}, l AS (SELECT cell, rep, [single, two_stage, features_only, joint] AS v FROM wide)
+SELECT cell, rep, list_position(v, list_max(v))::INTEGER AS best, list_position(v, list_min(v))::INTEGER AS worst FROM l WHERE list_max(v) IS NOT NULL""")
+def q_pick(spark, sf):
+    w = summaries.wide(trial(spark, sf), ["cell"], METHODS)
+    arr = F.array("single", "two_stage", "features_only", "joint")
+    return w.where(F.array_max(arr).isNotNull()).select(
+        "cell", "rep", F.array_position(arr, F.array_max(arr)).cast("int").alias("best"),
+        F.array_position(arr, F.array_min(arr)).cast("int").alias("worst"))
+
+
+@query("union_by_name", f"""WITH {TRIAL} SELECT cell, method, count(*) AS n, count(secs) AS timed FROM (
+ SELECT cell, method, rep, secs FROM trial WHERE method IN ('joint', 'oracle') UNION ALL SELECT cell, method, rep, NULL FROM trial WHERE method = 'gated') GROUP BY 1, 2""")
+def q_union(spark, sf):
+    t = trial(spark, sf)
+    a = t.where(F.col("method").isin("joint", "oracle")).select("cell", "method", "rep", "secs")
+    b = t.where(F.col("method") == "gated").select("cell", "method", "rep")
+    both = a.unionByName(b, allowMissingColumns=True)
+    return both.groupBy("cell", "method").agg(F.count("*").alias("n"), F.count("secs").alias("timed"))
+
+
+@query("followup_times")
+def q_followup(spark, sf):
+    from mixhaz.operators.simulate import followup_times
+
+    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    return followup_times(ids, 5, 1.0, 2.0, [0.2, 0.4, 0.6, 0.8], seed="21").select("event_rate", r("followup", 4))

@@ -15,15 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def next_order(orders: DataFrame) -> DataFrame:
+HOT_CUSTOMER = 1_000_000  # more orders of one customer than one task should sort
+
+
+def next_order(orders: DataFrame, hot_from: int = HOT_CUSTOMER) -> DataFrame:
     """Date of the next order of the same customer.
 
     A customer with very many orders is split by day, so their rows sort in many
     tasks; the first order of the next day is then handed to the last one of a day.
     """
     slim = orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    # more rows than a task should sort on its own; a hot customer is one of few by this bound
-    hot = (orders.groupBy("o_custkey").count().where(F.col("count") > 1_000_000)
+    hot = (orders.groupBy("o_custkey").count().where(F.col("count") > hot_from)
            .select("o_custkey", F.lit(True).alias("_hot")))
     day = F.when(F.col("_hot"), F.to_date("o_orderdate"))
     slim = slim.join(hot, "o_custkey", "left").withColumn("_day", day).drop("_hot")
