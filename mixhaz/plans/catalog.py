@@ -831,7 +831,7 @@ def _quiet(fn, *args, **kwargs):
 
 def _cluster_rows(spark, model) -> DataFrame:
     rows = [(c, round(float(model.pi[k]), 6), round(float(model.weight_sum[k]), 4), round(float(model.eff_events[k]), 4),
-             v, round(float(model.beta[j, k]), 9)) for k, c in enumerate(model.clusters) for j, v in enumerate(model.hazard_vars)]
+             v, round(float(model.beta[j, k]), 12)) for k, c in enumerate(model.clusters) for j, v in enumerate(model.hazard_vars)]
     return spark.createDataFrame(rows, "cluster string, pi double, weight_sum double, eff_events double, feature string, beta double")
 
 
