@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .contamination import op1_decontaminate
+from .near_duplicates import op3_near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_near_duplicates": op3_near_duplicates,
 }
 ORACLES: dict[str, str] = {}
