@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .contamination import op1_decontaminate
 from .near_duplicates import op3_near_duplicates
+from .suffix_dedup import op10_suffix_array
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_near_duplicates": op3_near_duplicates,
+    "op10_suffix_array": op10_suffix_array,
 }
 ORACLES: dict[str, str] = {}

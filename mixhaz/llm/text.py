@@ -89,13 +89,11 @@ def rolling_bytes(data: np.ndarray, seed: int = 0) -> Rolling:
     return Rolling(_byte_values(seed)[data], seed)
 
 
-def sliding_minimum_places(h: np.ndarray, width: int) -> np.ndarray:
-    """Places that hold the minimum (leftmost of equals) of some `width` consecutive hashes, ascending."""
+def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
+    """For every `width` consecutive hashes the place of the least (by its upper half; leftmost of equals). Below 2**32 hashes."""
     if len(h) < width or not len(h):
         return np.empty(0, dtype=np.int64)
-    bits = np.uint64(max(20, len(h).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    low = np.uint64(low)
+    low = np.uint64((1 << 32) - 1)
     m = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     span = 1
     while span * 2 <= width:
@@ -103,11 +101,13 @@ def sliding_minimum_places(h: np.ndarray, width: int) -> np.ndarray:
         span *= 2
     if span < width:
         m = np.minimum(m[:len(m) - (width - span)], m[width - span:])
-    at = (m & low).astype(np.int64)
-    keep = np.empty(len(at), dtype=bool)
-    keep[0] = True
-    np.not_equal(at[1:], at[:-1], out=keep[1:])
-    return at[keep]
+    return (m & low).astype(np.int64)
+
+
+def sliding_minimum_places(h: np.ndarray, width: int) -> np.ndarray:
+    """Places that hold the minimum of some `width` consecutive hashes, ascending."""
+    at = sliding_argmin(h, width)
+    return at[np.append(True, at[1:] != at[:-1])] if len(at) else at
 
 
 class Chunk:
