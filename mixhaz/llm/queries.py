@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_pairs import op9_byte_pairs
 from .contamination import op1_decontaminate
 from .near_duplicates import op3_near_duplicates
 from .suffix_dedup import op10_suffix_array
@@ -13,6 +14,7 @@ from .suffix_dedup import op10_suffix_array
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_near_duplicates": op3_near_duplicates,
+    "op9_byte_pairs": op9_byte_pairs,
     "op10_suffix_array": op10_suffix_array,
 }
 ORACLES: dict[str, str] = {}
