@@ -114,7 +114,7 @@ class Chunk:
     """Some texts of a batch, joined by blanks: `data` holds the bytes, text i is data[begin[i]:end[i]]."""
 
     def __init__(self, texts: list[bytes], rows: slice):
-        self.rows, self.n = rows, len(texts)
+        self.texts, self.rows, self.n = texts, rows, len(texts)
         self.data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
         size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         self.end = np.cumsum(size + 1) - 1
