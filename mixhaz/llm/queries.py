@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_pairs import op9_byte_pairs
 from .contamination import op1_decontaminate
 from .near_duplicates import op3_near_duplicates
+from .quality import op5_quality
 from .suffix_dedup import op10_suffix_array
 from .toxicity import op4_toxicity
 
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
     "op9_byte_pairs": op9_byte_pairs,
     "op10_suffix_array": op10_suffix_array,
 }
