@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_pairs import op9_byte_pairs
 from .contamination import op1_decontaminate
+from .licenses import op2_licenses
 from .near_duplicates import op3_near_duplicates
 from .quality import op5_quality
 from .suffix_dedup import op10_suffix_array
@@ -15,6 +16,7 @@ from .toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_licenses": op2_licenses,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
