@@ -5,8 +5,8 @@ every further coordinate of the signature. Documents with equal shingle sets are
 candidates, and a link holds only after the exact Jaccard similarity of the full sets.
 
 Only connectivity is asked for, so a bucket of many classes is not expanded into pairs: its members are first compared
-with a leader, then, in a second round, with another one; what is still apart afterwards is compared with all members of the bucket
-that are in another component. No candidate between different components is left out.
+with a leader, then, in a second round, with the best of those that are still apart. Members of different components after that
+meet through the beginnings of their shingle sets, an exact filter: no candidate between different components is left out.
 """
 
 from __future__ import annotations
@@ -114,6 +114,31 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             .filter(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b"))
 
 
+def _prefix_pairs(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may still be linked. members: bucket, rep, n, component, degree.
+
+    One of a pair is apart from the leading component of a bucket. Shingles are put in one order, the rarest among these documents first. The first
+    shingle that a linked pair shares has at most the threshold's share of both sets before it; so only the beginnings of the
+    sets are joined, and only where what follows could still be enough. A text with too many words of its own meets nobody.
+    """
+    lead = members.groupBy("bucket").agg(F.max(F.struct("degree", "rep", "component")).alias("lead"), F.min("component").alias("low"),
+                                         F.max("component").alias("high")).filter("low <> high").select("bucket", "lead")
+    apart = F.max(F.col("component") != F.col("lead.component")).alias("apart")
+    nodes = cut(members.join(lead, "bucket").groupBy("rep").agg(F.first("n").alias("n"), F.first("component").alias("component"), apart))
+    words = full.join(nodes.select(F.col("rep").alias("doc_id")), "doc_id").select("doc_id", F.explode("shingles").alias("h"))
+    seen = words.groupBy("h").agg(F.count("*").alias("times"))
+    begin = F.floor(F.size("order") * (100 - percent) / 100).cast("int") + 1
+    order = (words.join(seen, "h").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("times", "h"))).alias("order"))
+             .select("doc_id", F.posexplode(F.slice("order", F.lit(1), begin)).alias("i", "s")).select("doc_id", "i", "s.h"))
+    order = cut(order.join(nodes, F.col("doc_id") == F.col("rep")).select("h", "rep", "i", "n", "component", "apart"))
+    one = order.filter("apart").select("h", F.col("rep").alias("a"), "i", "n", "component")
+    two = order.select("h", F.col("rep").alias("b"), F.col("i").alias("j"), F.col("n").alias("m"), F.col("component").alias("other"))
+    rest = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    on = ((one.h == two.h) & (F.col("component") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+          & ((100 + percent) * rest >= percent * (F.col("n") + F.col("m"))))
+    return one.join(two, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept.
 
@@ -131,26 +156,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     texts = docs.join(small(cut(buckets.select(F.col("rep").alias("doc_id")).distinct())), "doc_id", "left_semi")
     full = cut(sets(texts, size))
 
-    links = labels = None
     near = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
-    for turn in range(LEADER_ROUNDS + 1):
-        now = (buckets.withColumn("component", F.col("rep")) if labels is None else
-               buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-        mixed = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                          F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("_"), "component", "rep", "n")).alias("lead"))
-        mixed = mixed.filter("low <> high")
+    degrees = buckets.groupBy("rep").agg(F.count("*").alias("degree"))
+    now = cut(buckets.join(degrees, "rep").withColumn("component", F.col("rep")))
+    best = F.struct("degree", F.xxhash64("rep").alias("_"), "rep", "n", "component")
+    links = None
+    for turn in range(LEADER_ROUNDS):
+        # in the second round the leader is the best member outside the component of the first
+        lead = now.groupBy("bucket").agg(F.max(best).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"))
+        lead = lead.filter("low <> high").select("bucket", "lead")
+        if turn:
+            lead = (now.join(lead, "bucket").filter("component <> lead.component").groupBy("bucket").agg(F.max(best).alias("lead")))
+        first = lead.select("bucket", "lead.component", F.col("lead.rep").alias("a"), F.col("lead.n").alias("n"))
         members = now.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-        if turn < LEADER_ROUNDS:
-            first = mixed.select("bucket", "lead.component", F.col("lead.rep").alias("a"), F.col("lead.n").alias("n"))
-        else:
-            first = now.join(mixed.select("bucket", F.col("lead.component").alias("main")), "bucket").filter("component <> main").select(
-                "bucket", "component", F.col("rep").alias("a"), "n")
         pairs = (first.join(members, "bucket").filter((F.col("component") != F.col("other")) & near)
                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         found = cut(_verified(pairs, full, percent))
         links = found if links is None else links.unionByName(found)
-        if turn == 0 or not found.isEmpty():
-            labels = components(links)
+        labels = components(links)
+        now = cut(now.drop("component").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+                  .withColumn("component", F.coalesce("component", "rep")))
+    found = cut(_verified(_prefix_pairs(now, full, percent), full, percent))
+    if not found.isEmpty():
+        labels = components(links.unionByName(found))
 
     named = classes.select("s1", "s2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.coalesce("component", "rep").alias("found"))
