@@ -12,6 +12,7 @@ from .fingerprints import op8_fingerprints
 from .licenses import op2_licenses
 from .near_duplicates import op3_near_duplicates
 from .quality import op5_quality
+from .recompression import op6_recompression
 from .suffix_dedup import op10_suffix_array
 from .toxicity import op4_toxicity
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
+    "op6_recompression": op6_recompression,
     "op8_fingerprints": op8_fingerprints,
     "op9_byte_pairs": op9_byte_pairs,
     "op10_suffix_array": op10_suffix_array,

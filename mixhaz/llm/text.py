@@ -169,6 +169,25 @@ def lists(values: pa.Array | np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), flat)
 
 
+def take(rows: pa.RecordBatch, text: np.ndarray) -> dict:
+    """doc_id and key of the texts of some results."""
+    pick = pa.array(text)
+    return {"doc_id": rows.column("doc_id").take(pick), "key": rows.column("key").take(pick)}
+
+
+def flat_lists(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Flat numbers of a list column (null: none), and the row of each."""
+    sizes = np.diff(values.offsets.to_numpy())
+    return values.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(values)), sizes)
+
+
+def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges lo..hi, and the range of each."""
+    n = hi - lo + 1
+    owner = np.repeat(np.arange(len(lo)), n)
+    return lo[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n), owner
+
+
 def map_texts(df: DataFrame, make: Callable[[Chunk, pa.RecordBatch], dict], schema: str, column: str = "text") -> DataFrame:
     """Rows that `make(chunk, rows of the batch that the chunk holds)` returns as columns."""
 
