@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_pairs import op9_byte_pairs
 from .contamination import op1_decontaminate
 from .fingerprints import op8_fingerprints
+from .lattice_lm import op7_lattice
 from .licenses import op2_licenses
 from .near_duplicates import op3_near_duplicates
 from .quality import op5_quality
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_recompression": op6_recompression,
+    "op7_lattice": op7_lattice,
     "op8_fingerprints": op8_fingerprints,
     "op9_byte_pairs": op9_byte_pairs,
     "op10_suffix_array": op10_suffix_array,
