@@ -127,9 +127,14 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded binary")
 
 
-def op9_byte_pairs(spark, sf_dir: str) -> DataFrame:
+def public_vocabulary() -> tuple[str, str]:
+    """Ranks file and pattern of the public byte-level vocabulary."""
     import public_tokenizers as public
 
-    found = encode_decode(documents(spark, sf_dir), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    return public.path("byte_bpe_50k.tiktoken"), public.PATTERN
+
+
+def op9_byte_pairs(spark, sf_dir: str) -> DataFrame:
+    found = encode_decode(documents(spark, sf_dir), *public_vocabulary())
     return found.select("doc_id", "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))

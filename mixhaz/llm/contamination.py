@@ -145,6 +145,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
                     F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")))
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The rows of `docs`, all columns, that hold no window of any item."""
+    hit = contamination(docs, items, window, gram).filter("n_hit > 0").select("doc_id", "key").distinct()
+    rows = attach(keyed(docs, carry=True), small(cut(hit)), "left_anti")
+    return rows.select("row.*")
+
+
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
     found = contamination(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),

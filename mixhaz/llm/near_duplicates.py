@@ -188,5 +188,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
+def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, all columns, of which one document of each group stays, that of the smallest doc_id."""
+    gone = cut(near_duplicates(docs, size, percent).filter("not kept").select("doc_id").distinct())
+    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+
+
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), size=3, percent=85)

@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, forget
 
 _BITS = 33  # of the row number within a partition in monotonically_increasing_id
 
 
-def in_order(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+def in_order(df: DataFrame, order: list[Column | str], name: str, paths: list[str] | None = None) -> DataFrame:
     """`df` with a number that ascends with `order`, not without gaps."""
-    return cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()))
+    return cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()), paths)
 
 
 def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
@@ -34,9 +34,9 @@ def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
             .drop("_id", "_p", "_before"))
 
 
-def _last_before(df: DataFrame, order: list[Column | str]) -> DataFrame:
+def _last_before(df: DataFrame, order: list[Column | str], paths: list[str]) -> DataFrame:
     """Adds `pred`, the greatest `r` of the rows before in `order`, and `place`, a number that ascends with it. `r` ascends, too."""
-    rows = in_order(df, order, "place").withColumn("_p", F.shiftrightunsigned("place", _BITS))
+    rows = in_order(df, order, "place", paths).withColumn("_p", F.shiftrightunsigned("place", _BITS))
     best, carried = None, []
     for p, top in sorted((x[0], x[1]) for x in rows.groupBy("_p").agg(F.max("r")).collect()):  # a row for each partition
         carried.append((p, best))
@@ -47,41 +47,46 @@ def _last_before(df: DataFrame, order: list[Column | str]) -> DataFrame:
             .withColumn("pred", F.coalesce("_seen", "_carry")).drop("_p", "_q", "_seen", "_carry"))
 
 
-def _ranks(symbols: DataFrame) -> DataFrame:
+def _ranks(symbols: DataFrame, prefix: int | None) -> DataFrame:
     """(sid, sub, i, r): order-preserving numbers of all suffixes of the strings (sid, sub) of symbols x at i = 0, 1, ..."""
     string = Window.partitionBy("sid", "sub").orderBy("i")
-    cells = cut(symbols.select("sid", "sub", "i", "x", F.lead("x", 1).over(string).alias("x1"), F.lead("x", 2).over(string).alias("x2")))
+    paths: list[str] = []
+    cells = cut(symbols.select("sid", "sub", "i", "x", F.lead("x", 1).over(string).alias("x1"), F.lead("x", 2).over(string).alias("x2")), paths)
     sample = cells.filter("i % 3 > 0")
     end = F.when(F.col("x2").isNull(), F.col("sid"))  # an end is smaller than any symbol, and ends are told apart by their string
     end_sub = F.when(F.col("x2").isNull(), F.col("sub"))
     triple = ["x", "x1", "x2", "e", "f"]
     sample = sample.withColumns({"e": end, "f": end_sub})
-    names = in_order(sample.groupBy(*triple).agg(F.count("*").alias("times")), triple, "name")
+    names = in_order(sample.groupBy(*triple).agg(F.count("*").alias("times")), triple, "name", paths)
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in triple]
     keys = [f"_{c}" for c in triple]
     named = sample.join(names.withColumnsRenamed({c: f"_{c}" for c in triple}), same[0] & same[1] & same[2] & same[3] & same[4]).drop(*keys)
-    if names.filter("times > 1").isEmpty():
+    if (prefix is not None and prefix <= 3) or names.filter("times > 1").isEmpty():
         ranked = named.select("sid", "sub", "i", F.col("name").alias("r"))
     else:
         side = F.col("i") % 3 - 1
-        inner = _ranks(named.select("sid", (F.col("sub") * 2 + side).alias("sub"), F.expr("int(i div 3)").alias("i"), F.col("name").alias("x")))
+        inner = _ranks(named.select("sid", (F.col("sub") * 2 + side).alias("sub"), F.expr("int(i div 3)").alias("i"), F.col("name").alias("x")),
+                       None if prefix is None else (prefix + 2) // 3)
         ranked = inner.select("sid", F.expr("sub div 2").alias("sub"), (F.col("i") * 3 + 1 + F.col("sub") % 2).cast("int").alias("i"), "r")
     known = cells.join(ranked, ["sid", "sub", "i"], "left")
-    known = cut(known.select("*", F.lead("r", 1).over(string).alias("r1"), F.lead("r", 2).over(string).alias("r2")))
+    known = cut(known.select("*", F.lead("r", 1).over(string).alias("r1"), F.lead("r", 2).over(string).alias("r2")), paths)
     # against position 1 a rest is compared by (symbol, next rank), against position 2 by (two symbols, rank after them)
-    one = _last_before(known.filter("i % 3 < 2").select("sid", "sub", "i", "x", "r1", "r"), ["x", "r1", "sid", "sub"])
-    two = _last_before(known.filter("i % 3 <> 1").select("sid", "sub", "i", "x", "x1", "r2", "r"), ["x", "x1", "r2", "sid", "sub"])
+    one = _last_before(known.filter("i % 3 < 2").select("sid", "sub", "i", "x", "r1", "r"), ["x", "r1", "sid", "sub"], paths)
+    two = _last_before(known.filter("i % 3 <> 1").select("sid", "sub", "i", "x", "x1", "r2", "r"), ["x", "x1", "r2", "sid", "sub"], paths)
     rest = (one.filter("i % 3 = 0").select("sid", "sub", "i", "place", F.col("pred").alias("p1"))
             .join(two.filter("i % 3 = 0").select("sid", "sub", "i", F.col("pred").alias("p2")), ["sid", "sub", "i"])
             .select("sid", "sub", "i", F.greatest("p1", "p2").alias("r"), "place"))
     both = known.filter("i % 3 > 0").select("sid", "sub", "i", "r", F.lit(None).cast("long").alias("place")).unionByName(rest)
-    return in_order(both, ["r", F.col("place").asc_nulls_first()], "r2").select("sid", "sub", "i", F.col("r2").alias("r"))
+    done = in_order(both, ["r", F.col("place").asc_nulls_first()], "r2").select("sid", "sub", "i", F.col("r2").alias("r"))
+    forget(symbols.sparkSession, paths)
+    return done
 
 
-def suffix_ranks(symbols: DataFrame) -> DataFrame:
+def suffix_ranks(symbols: DataFrame, prefix: int | None = None) -> DataFrame:
     """(sid, i, rank) of every suffix of the strings `sid` (long) of symbols `x` (long) at i = 0, 1, ... (int): ranks 0, 1, ...
 
     Suffixes are compared symbol by symbol; the end of a string is smaller than any symbol, and ends are ordered by sid, so no two suffixes are equal.
+    With `prefix`, the recursion ends when the names stand for so many symbols: suffixes that agree in them stand together, in any order.
     """
-    found = _ranks(symbols.select("sid", F.lit(0).cast("long").alias("sub"), "i", "x"))
+    found = _ranks(symbols.select("sid", F.lit(0).cast("long").alias("sub"), "i", "x"), prefix)
     return numbered(found.select("sid", "i", "r"), ["r"], "rank").select("sid", "i", "rank")

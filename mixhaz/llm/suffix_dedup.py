@@ -15,12 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .suffix_array import suffix_ranks
 from .tables import attach, cut, documents, keyed, small
-from .text import Chunk, as_long, chunks, map_texts, rolling_bytes, sliding_argmin
+from .text import Chunk, as_long, chunks, flat_lists, map_texts, rolling_bytes, sliding_argmin, spread, take
 
 LENGTH, GRAM = 200, 100
+#: symbols that the suffix order goes by; the first one alone covers `length` bytes
+PREFIX = 4
 
 
 class Blocks:
@@ -42,24 +45,6 @@ class Blocks:
         self.number = np.arange(len(self.text)) - self.first[self.text]
 
 
-def _take(rows: pa.RecordBatch, text: np.ndarray) -> dict:
-    pick = pa.array(text)
-    return {"doc_id": rows.column("doc_id").take(pick), "key": rows.column("key").take(pick)}
-
-
-def _ranges(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Flat values of a list column, and the row of each."""
-    sizes = np.diff(values.offsets.to_numpy())
-    return values.flatten(), np.repeat(np.arange(len(values)), sizes)
-
-
-def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges lo..hi, and the range of each."""
-    n = hi - lo + 1
-    owner = np.repeat(np.arange(len(lo)), n)
-    return lo[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n), owner
-
-
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """For keyed documents: (doc_id, key, lo, hi), runs of window starts whose bytes also start anywhere else (complete, may overlap),
     and (doc_id, key) of documents of which there are several copies, whose windows all repeat. A copied text counts once in the first table."""
@@ -79,15 +64,15 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
     def places(chunk: Chunk, rows: pa.RecordBatch) -> dict:
         b = Blocks(chunk, length, gram)
-        return _take(rows, b.text) | {"number": b.number.astype(np.int32), "h": as_long(b.gram)}
+        return take(rows, b.text) | {"number": b.number.astype(np.int32), "h": as_long(b.gram)}
 
     wanted = cut(map_texts(texts, places, "doc_id long, key long, number int, h long").join(small(shared), "h", "left_semi")
                  .groupBy("doc_id", "key").agg(F.collect_set("number").alias("numbers")))
 
     def contents(chunk: Chunk, rows: pa.RecordBatch) -> dict:
         b = Blocks(chunk, length, gram)
-        number, text = _ranges(rows.column("numbers"))
-        at = np.sort(b.first[text] + number.to_numpy(zero_copy_only=False))
+        number, text = flat_lists(rows.column("numbers"))
+        at = np.sort(b.first[text] + number)
         lo, hi, text = b.lo[at], b.hi[at], b.text[at]
         names = [r.hash(lo, hi + length) for r in (b.roll, rolling_bytes(chunk.data, 1))]
         order = np.lexsort((lo, names[1], names[0], text))
@@ -96,14 +81,14 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         again[order[1:]] = same
         twice[order[1:]] |= same
         twice[order[:-1]] |= same
-        return _take(rows, text) | {"lo": (lo - chunk.begin[text]).astype(np.int32), "hi": (hi - chunk.begin[text]).astype(np.int32),
+        return take(rows, text) | {"lo": (lo - chunk.begin[text]).astype(np.int32), "hi": (hi - chunk.begin[text]).astype(np.int32),
                                     "h": as_long(b.gram[at]), "b1": as_long(names[0]), "b2": as_long(names[1]), "again": again, "twice": twice}
 
     blocks = cut(map_texts(attach(texts, wanted, "inner"), contents, "doc_id long, key long, lo int, hi int, h long, b1 long, b2 long, "
                            "again boolean, twice boolean").dropDuplicates(["key", "lo"]))
     # a text's second block of the same content repeats within it, and adds nothing to the order
     symbols = cut(blocks.filter("not again").withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("lo")) - 1))
-    ranks = suffix_ranks(symbols.select(F.col("key").alias("sid"), "i", F.col("b1").alias("x"))).withColumnRenamed("i", "j")
+    ranks = suffix_ranks(symbols.select(F.col("key").alias("sid"), "i", F.col("b1").alias("x")), PREFIX).withColumnRenamed("i", "j")
     ranked = cut(symbols.join(ranks, (F.col("key") == F.col("sid")) & (F.col("i") == F.col("j"))).drop("sid", "j"))
     after = ranked.select((F.col("rank") + 1).alias("rank"), F.col("b1").alias("c1"), F.col("b2").alias("c2"))
     equal = cut(ranked.select("rank", "b1", "b2").join(after, "rank").filter("b1 = c1 and b2 = c2").select("rank"))
@@ -117,13 +102,13 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     ends = cut(open_blocks.groupBy("doc_id", "key").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his")))
 
     def prefixes(chunk: Chunk, rows: pa.RecordBatch) -> dict:
-        lo, text = _ranges(rows.column("los"))
-        hi, _ = _ranges(rows.column("his"))
-        place, owner = _spread(lo.to_numpy(zero_copy_only=False).astype(np.int64), hi.to_numpy(zero_copy_only=False).astype(np.int64))
+        lo, text = flat_lists(rows.column("los"))
+        hi, _ = flat_lists(rows.column("his"))
+        place, owner = spread(lo, hi)
         text = text[owner]
         at = chunk.begin[text] + place
         names = [rolling_bytes(chunk.data, seed).hash(at, at + length) for seed in (0, 1)]
-        return _take(rows, text) | {"place": place.astype(np.int32), "w1": as_long(names[0]), "w2": as_long(names[1])}
+        return take(rows, text) | {"place": place.astype(np.int32), "w1": as_long(names[0]), "w2": as_long(names[1])}
 
     windows = map_texts(attach(texts, ends, "inner"), prefixes,
                         "doc_id long, key long, place int, w1 long, w2 long")
@@ -133,46 +118,70 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return runs, copies.select("doc_id", "key").distinct()
 
 
+def _spans(base: DataFrame, length: int, gram: int) -> DataFrame:
+    """`base` with the window ranges (los, his) that repeat, and `whole` where all do."""
+    runs, copies = repeated_windows(base.select("doc_id", "key", "text"), length, gram)
+    found = runs.groupBy("doc_id", "key").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
+    none = F.lit(None).cast("array<int>")
+    spans = cut(found.withColumn("whole", F.lit(False)).unionByName(copies.select("doc_id", "key", none.alias("los"), none.alias("his"), F.lit(True).alias("whole")))
+                .groupBy("doc_id", "key").agg(F.first("los", True).alias("los"), F.first("his", True).alias("his"), F.max("whole").alias("whole")))
+    return attach(base, small(spans, 50_000))
+
+
+def _gone(chunk: Chunk, rows: pa.RecordBatch, length: int) -> np.ndarray:
+    """Which bytes of the chunk are inside a repeated string."""
+    step = np.zeros(len(chunk.data) + 1, dtype=np.int32)
+    lo, text = flat_lists(rows.column("los"))
+    hi, _ = flat_lists(rows.column("his"))
+    np.add.at(step, chunk.begin[text] + lo, 1)
+    np.add.at(step, chunk.begin[text] + hi + length, -1)
+    gone = np.cumsum(step[:-1]) > 0
+    for i in np.flatnonzero(rows.column("whole").fill_null(False).to_numpy(zero_copy_only=False)):
+        gone[chunk.begin[i]:chunk.end[i]] = True
+    return gone
+
+
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per document row: doc_id, key, n_bytes, n_removed, n_spans and kept (binary: the bytes that are left).
 
     Removed is each byte inside a `length`-byte string of its UTF-8 text that also starts anywhere else in the table, same document and repeated
     rows included; strings do not cross documents and are judged on the input. n_spans counts the maximal removed runs. A null text is
-    empty; texts of fewer than `length` bytes stay whole. Rows that repeat a doc_id count as documents of their own.
+    empty; texts of fewer than `length` bytes stay whole. Rows that repeat a doc_id count as documents of their own; other columns are left out.
     """
-    base = keyed(docs)
-    runs, copies = repeated_windows(base, length, gram)
-    found = runs.groupBy("doc_id", "key").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
-    none = F.lit(None).cast("array<int>")
-    spans = cut(found.withColumn("whole", F.lit(False)).unionByName(copies.select("doc_id", "key", none.alias("los"), none.alias("his"), F.lit(True).alias("whole")))
-                .groupBy("doc_id", "key").agg(F.first("los", True).alias("los"), F.first("his", True).alias("his"), F.max("whole").alias("whole")))
 
-    def run(batches):
-        for batch in batches:
-            for chunk in chunks(batch.column("text")) if batch.num_rows else ():
-                rows = batch.slice(chunk.rows.start, chunk.n)
-                step = np.zeros(len(chunk.data) + 1, dtype=np.int32)
-                for los, add in (("los", 1), ("his", -1)):
-                    value, text = _ranges(rows.column(los))
-                    place = chunk.begin[text] + value.to_numpy(zero_copy_only=False).astype(np.int64) + (length if add < 0 else 0)
-                    np.add.at(step, place, add)
-                gone = np.cumsum(step[:-1]) > 0
-                whole = rows.column("whole").fill_null(False).to_numpy(zero_copy_only=False)
-                for i in np.flatnonzero(whole):
-                    gone[chunk.begin[i]:chunk.end[i]] = True
-                out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-                for i in range(chunk.n):
-                    lo, hi = chunk.begin[i], chunk.end[i]
-                    g = gone[lo:hi]
-                    n = int(np.count_nonzero(g))
-                    out["n_bytes"].append(hi - lo)
-                    out["n_removed"].append(n)
-                    out["n_spans"].append(int(np.count_nonzero(g[1:] & ~g[:-1])) + int(g[0]) if n else 0)
-                    out["kept"].append((chunk.data[lo:hi][~g] if n else chunk.data[lo:hi]).tobytes())
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("key"), *(pa.array(out[c], pa.int64()) for c in list(out)[:3]),
-                                                  pa.array(out["kept"], pa.binary())], names=["doc_id", "key", *out])
-
-    return attach(base, small(spans, 50_000)).mapInArrow(run, "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept binary")
+    def clean(chunk: Chunk, rows: pa.RecordBatch) -> dict:
+        gone = _gone(chunk, rows, length)
+        out = {"n_bytes": chunk.end - chunk.begin, "n_removed": np.zeros(chunk.n, np.int64), "n_spans": np.zeros(chunk.n, np.int64)}
+        kept = []
+        for i in range(chunk.n):
+            lo, hi = chunk.begin[i], chunk.end[i]
+            g = gone[lo:hi]
+            n = np.count_nonzero(g)
+            if n:
+                out["n_removed"][i], out["n_spans"][i] = n, np.count_nonzero(g[1:] & ~g[:-1]) + int(g[0])
+            kept.append((chunk.data[lo:hi][~g] if n else chunk.data[lo:hi]).tobytes())
+        return {"doc_id": rows.column("doc_id"), "key": rows.column("key")} | out | {"kept": pa.array(kept, pa.binary())}
+
+    return map_texts(_spans(keyed(docs), length, gram), clean, "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The rows of `docs`, all columns, with repeated strings cut out of `text` (a character goes if all its bytes go) and n_chars, if
+    there is such a column, counted anew. A null text stays null."""
+    rows = keyed(docs, carry=True)
+
+    def clean(chunk: Chunk, batch: pa.RecordBatch) -> dict:
+        gone = _gone(chunk, batch, length)
+        head = np.flatnonzero((chunk.data & 0xC0) != 0x80)
+        gone = np.repeat(np.minimum.reduceat(gone, head), np.diff(np.append(head, len(gone))))
+        kept = [(chunk.data[a:b][~gone[a:b]]).tobytes().decode("utf-8", "replace") for a, b in zip(chunk.begin, chunk.end)]
+        return {"row": batch.column("row"), "left": pa.array(kept, pa.string())}
+
+    schema = T.StructType([rows.schema["row"], T.StructField("left", T.StringType())])
+    done = map_texts(_spans(rows, length, gram), clean, schema)
+    text = F.when(F.col("row.text").isNotNull(), F.col("left"))
+    change = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return done.select([change.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op10_suffix_array(spark, sf_dir: str) -> DataFrame:

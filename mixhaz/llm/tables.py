@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,16 +21,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key of both. Other columns are left out, so that no name can clash. Rows that agree in both
-    have one key and get one result each; rows of one doc_id with different texts are different documents."""
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text", F.col("text").isNull()).alias("key"))
+def keyed(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, text and a key of both. Other columns are left out, so that no name can clash; `carry` keeps the whole row as a struct `row`.
+    Rows that agree in both have one key and get one result each; rows of one doc_id with different texts are different documents."""
+    key = F.xxhash64("doc_id", "text", F.col("text").isNull()).alias("key")
+    return docs.select("doc_id", "text", key, *([F.struct("*").alias("row")] if carry else []))
+
+
+def cut(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """Write a table to the shared checkpoint folder and read from there: a lost executor costs a re-read, not a re-run.
+    `paths` remembers where it is."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}.parquet"
+    df.write.option("compression", "zstd").parquet(path)
+    if paths is not None:
+        paths.append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared checkpoint folder and read from there: a lost executor costs a re-read, not a re-run."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    paths.clear()
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

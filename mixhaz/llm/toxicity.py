@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .linear import held_out, sample, sigmoid, train
 from .tables import cut, documents, read
-from .text import ALNUM, Chunk, as_long, map_texts, rolling_bytes
+from .text import ALNUM, Chunk, as_long, chunks, map_texts, rolling_bytes
 
 #: labelled rows that the classifier is fitted on at most; features that it has at most; texts that must hold a feature at least
 SAMPLE, FEATURES, SUPPORT = 16_000, 3_000, 4
@@ -205,28 +205,55 @@ def fit(docs: DataFrame, chosen: DataFrame, model: np.ndarray, most: int = FEATU
     return table, train(first, index, np.ones(len(index)), label, len(table) + 1, alpha=0.3, l2=0.5)
 
 
+class Scorer:
+    """A fitted model: score of every text of a chunk."""
+
+    def __init__(self, model: np.ndarray, table: np.ndarray, weights: np.ndarray):
+        self.reader, self.look, self.weights = Restorer(model), Lookup(table), weights
+
+    def __call__(self, chunk: Chunk) -> np.ndarray:
+        h, text = features(self.reader.chunk(chunk))
+        hit, place = self.look(h)
+        place, text = _pairs(place.astype(np.int64), text[hit])
+        return sigmoid(np.bincount(text, weights=self.weights[:-1][place], minlength=chunk.n) + self.weights[-1])
+
+
+def fitted(docs: DataFrame, labels: DataFrame, parts: int = 4, fold: int = 2, rows: int = SAMPLE) -> Scorer:
+    """The letter model is counted over all texts, the classifier fitted on at most `rows` labelled rows outside the held-out fold."""
+    docs = docs.select("doc_id", "text")
+    model = letter_model(docs)
+    return Scorer(model, *fit(docs, sample(labels, "toxic", parts, fold, rows), model))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, fold: int = 2, threshold: float = THRESHOLD, rows: int = SAMPLE) -> DataFrame:
     """One row per document row: doc_id, held_out, score (0 to 1, higher: likelier toxic) and predicted (1 from `threshold` on).
 
-    The letter model is counted over all texts, the classifier fitted on at most `rows` labelled rows outside the held-out fold. Null and
-    empty texts have no feature and get the score of the bias. A null doc_id is held out. Repeated rows are scored alike; other columns are left
-    out. Without any label the score is 1/2 everywhere.
+    Null and empty texts have no feature and get the score of the bias. A null doc_id is held out. Repeated rows are scored alike; other columns
+    are left out. Without any label the score is 1/2 everywhere.
     """
-    docs = docs.select("doc_id", "text")
-    model = letter_model(docs)
-    table, weights = fit(docs, sample(labels, "toxic", parts, fold, rows), model)
-    reader, look = Restorer(model), Lookup(table)
+    scorer = fitted(docs, labels, parts, fold, rows)
 
-    def score(chunk: Chunk, rows: pa.RecordBatch) -> dict:
-        h, text = features(reader.chunk(chunk))
-        hit, place = look(h)
-        place, text = _pairs(place.astype(np.int64), text[hit])
-        total = np.bincount(text, weights=weights[:-1][place], minlength=chunk.n) + weights[-1]
-        return {"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "score": sigmoid(total)}
+    def score(chunk: Chunk, batch: pa.RecordBatch) -> dict:
+        return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": scorer(chunk)}
 
-    found = map_texts(docs.withColumn("held_out", held_out(parts, fold)), score, "doc_id long, held_out boolean, score double")
+    found = map_texts(docs.select("doc_id", "text", held_out(parts, fold).alias("held_out")), score, "doc_id long, held_out boolean, score double")
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = SAMPLE) -> DataFrame:
+    """The rows of `docs`, all columns, that score below `threshold`. With no label to learn from all rows stay."""
+    scorer = fitted(docs, labels, rows=rows)
+    if not len(scorer.look.table):
+        return docs
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                score = np.concatenate([scorer(c) for c in chunks(batch.column("text"))])
+                yield batch.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), read(spark, sf_dir, "labels"))
