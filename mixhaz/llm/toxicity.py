@@ -33,7 +33,8 @@ SUSPECT = re.compile((rf"(?<![a-z0-9\x80-\xff])(?:[a-z{_SIGNS}][ ._*\-]){{2,}}[a
 APART = re.compile(rf"^[a-z{_SIGNS}](?:[ ._*\-][a-z{_SIGNS}])+$".encode())
 
 # Channel log-probabilities.
-AS_IT_IS, STANDS, ONCE, TWICE, LONGER = 0.0, -0.7, -0.5, -1.0, -3.0
+AS_IT_IS, STANDS, ONCE, TWICE, LONGER, BREAK = 0.0, -0.7, -0.5, -1.0, -3.0, (-1.5, -3.0)
+SMOOTH = 4.0  # weight of the shorter context
 CLASSES = 29  # 0 outside words, a-z, other letters, digits
 _CLASS = np.zeros(256, dtype=np.int64)
 _CLASS[97:123] = np.arange(1, 27)
@@ -51,11 +52,15 @@ def letter_model(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(n)
         return {"gram": at, "n": n[at]}
 
-    table = np.full(CLASSES ** 3, 0.1)
+    table = np.zeros(CLASSES ** 3)
     for gram, n in map_texts(docs.select("text"), count, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect():
         table[gram] += n
-    table = table.reshape(CLASSES, CLASSES, CLASSES)
-    return np.log(table / table.sum(axis=2, keepdims=True))
+    three = table.reshape(CLASSES, CLASSES, CLASSES)
+    three[:, 0] = three[:, 0].sum(axis=0)  # a word begins alike after anything
+    one = (three.sum(axis=(0, 1)) + 1) / (three.sum() + CLASSES)
+    two = three.sum(axis=0)
+    two = (two + SMOOTH * one) / (two.sum(axis=1, keepdims=True) + SMOOTH)
+    return np.log((three + SMOOTH * two) / (three.sum(axis=2, keepdims=True) + SMOOTH))
 
 
 def _readings(sign: str, length: int) -> list[tuple[str, float]]:
@@ -74,8 +79,15 @@ def _readings(sign: str, length: int) -> list[tuple[str, float]]:
 
 
 def restore(span: bytes, model: np.ndarray) -> bytes:
-    """The likeliest reading of a suspect stretch: Viterbi over the lattice of its runs; the state is the last two classes."""
-    text = (span[0::2] if APART.match(span) else span).decode("latin-1")
+    """The likeliest reading of a suspect stretch. Letters set apart are joined, or left apart where a word ends; how dear
+    that is can't be told from so few letters, so readings for both values of BREAK are kept if they differ."""
+    if not APART.match(span):
+        return _viterbi(span.decode("latin-1"), model, None)
+    return b" ".join(dict.fromkeys(_viterbi(span[0::2].decode("latin-1"), model, cost) for cost in BREAK))
+
+
+def _viterbi(text: str, model: np.ndarray, cost_of_break: float | None) -> bytes:
+    """Best path through the lattice of the text's runs; the state is the last two classes."""
     best = {(0, 0): (0.0, "")}
     for run in re.finditer(r"(.)\1*", text, re.S):
         ahead: dict = {}
@@ -88,6 +100,11 @@ def restore(span: bytes, model: np.ndarray) -> bytes:
                     a, b = b, c
                 if (a, b) not in ahead or s > ahead[a, b][0]:
                     ahead[a, b] = (s, so_far + reading)
+        if cost_of_break is not None:
+            for (a, b), (score, so_far) in list(ahead.items()):
+                s = score + cost_of_break + model[a, b, 0]
+                if b and ((b, 0) not in ahead or s > ahead[b, 0][0]):
+                    ahead[b, 0] = (s, so_far + " ")
         best = ahead
     return max((s + model[a, b, 0], t) for (a, b), (s, t) in best.items())[1].encode("latin-1")
 
