@@ -52,7 +52,8 @@ def with_piece(df: DataFrame, order: str, source: DataFrame) -> DataFrame:
 
 def cut_uniform(df: DataFrame, u: str) -> DataFrame:
     """Pieces for a column that is uniform on (0, 1): no boundary pass is needed."""
-    return df.withColumn(PIECE, F.floor(F.col(u) * F.lit(piece_count(df))).cast("int"))
+    pieces = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.withColumn(PIECE, F.floor(F.col(u) * F.lit(pieces)).cast("int"))
 
 
 def running_totals(

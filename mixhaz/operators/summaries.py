@@ -82,12 +82,12 @@ def normalised_gain(table: DataFrame, by: Sequence[str], target: str, base: str,
 
 
 def verdicts(diffs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """beats / loses / matches / mixed per group, from differences beyond two standard errors."""
+    """beats / loses / matches / mixed per group, from differences beyond two standard errors; null for a group without a usable one."""
     clear = F.abs("diff") > 2 * F.col("diff_mcse")
     better = F.bool_or(clear & (F.col("diff") > 0))
     worse = F.bool_or(clear & (F.col("diff") < 0))
     return diffs.groupBy(*by).agg(
-        F.when(better & worse, "mixed").when(better, "beats").when(worse, "loses")
+        F.when(F.count(clear) == 0, F.lit(None)).when(better & worse, "mixed").when(better, "beats").when(worse, "loses")
         .otherwise("matches").alias("verdict"))
 
 
@@ -127,13 +127,13 @@ def best_row(rows: DataFrame, by: Sequence[str], score: str, tie: str) -> DataFr
 
 
 def histogram(df: DataFrame, x: str, bins: int = 20, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """Counts in equal bins, right-closed, the first including its lower end.
+    """Counts in equal bins, right-closed, the first including its lower end. Bin b ends at low + b * (high - low) / bins, as a double."""
+    def edge(b):
+        return F.lit(low) + b * F.lit(high - low) / F.lit(bins)
 
-    A value that equals an edge up to rounding noise counts as lying on the edge.
-    """
-    width = (high - low) / bins
-    bin_ = F.greatest(F.ceil(F.round((F.col(x) - low) / F.lit(width), 7)), F.lit(1)).cast("int")
-    return df.where(F.col(x).between(low, high)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
+    near = F.greatest(F.ceil((F.col(x) - low) * F.lit(bins) / F.lit(high - low)), F.lit(1)).cast("int")
+    bin_ = F.when((near > 1) & (F.col(x) <= edge(near - 1)), near - 1).when(F.col(x) > edge(near), near + 1).otherwise(near)
+    return df.where(F.col(x).between(low, high)).groupBy(F.least(bin_, F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))
 
 
 def ks_uniform(df: DataFrame, x: str) -> DataFrame:
@@ -145,7 +145,10 @@ def ks_uniform(df: DataFrame, x: str) -> DataFrame:
                      F.col(x) - (F.col("_cum") - F.col("_n")) / F.col("_total"))
     out = cum.agg(F.max(gap).alias("d"), F.max("_total").alias("n"))
     lam2 = F.col("n") * F.col("d") * F.col("d")
-    tail = sum((F.lit(2.0 * (-1) ** (k - 1)) * F.exp(F.lit(-2.0 * k * k) * lam2) for k in range(1, 31)), F.lit(0.0))
+    # two forms of one limit: each converges within a few terms on its side
+    far = sum((F.lit(2.0 * (-1) ** (k - 1)) * F.exp(F.lit(-2.0 * k * k) * lam2) for k in range(1, 9)), F.lit(0.0))
+    near = 1 - F.sqrt(F.lit(2 * math.pi) / lam2) * sum((F.exp(F.lit(-((2 * k - 1) * math.pi) ** 2 / 8) / lam2) for k in range(1, 9)), F.lit(0.0))
+    tail = F.when(lam2 <= 0, 1.0).when(lam2 < 1.0, near).otherwise(far)
     return out.select("d", F.col("n").cast("long").alias("n"), F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)).alias("p_value"))
 
 
@@ -197,10 +200,11 @@ def t_quantile(prob: float, dof: float) -> float:
 
 
 def dataset_hash(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Order-free fingerprint: sum of the leading 32 bits of each row's md5."""
+    """Order-free fingerprint: sum of the leading 32 bits of each row's md5, modulo 2**63 - 1."""
     row = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).cast("binary"))
     return df.groupBy(*keys).agg(
-        F.sum(F.conv(F.substring(row, 1, 8), 16, 10).cast("long")).alias("fingerprint"), F.count("*").alias("n"))
+        (F.sum(F.conv(F.substring(row, 1, 8), 16, 10).cast("decimal(28,0)")) % F.lit(2 ** 63 - 1)).cast("long").alias("fingerprint"),
+        F.count("*").alias("n"))
 
 
 def compare_manifests(left: DataFrame, right: DataFrame, on: Sequence[str], value: str) -> DataFrame:

@@ -654,7 +654,7 @@ def q_paired(spark, sf):
 
 
 @query("verdict_rollup", f"""WITH {_DIFFS}, v AS (SELECT cell, bool_or(abs(diff) > 2 * diff_mcse AND diff > 0) AS b, bool_or(abs(diff) > 2 * diff_mcse AND diff < 0) AS w FROM pd GROUP BY 1)
-SELECT cell, CASE WHEN b AND w THEN 'mixed' WHEN b THEN 'beats' WHEN w THEN 'loses' ELSE 'matches' END AS verdict FROM v""")
+SELECT cell, CASE WHEN b IS NULL THEN NULL WHEN b AND w THEN 'mixed' WHEN b THEN 'beats' WHEN w THEN 'loses' ELSE 'matches' END AS verdict FROM v""")
 def q_verdict(spark, sf):
     return summaries.verdicts(_diffs(spark, sf), ["cell"])
 
@@ -691,7 +691,8 @@ def q_rejection(spark, sf):
     return g.select("cell", "null_kind", "n", r("rate"), r("rate_mcse"), r("upper"), "ok")
 
 
-@query("pvalue_histogram", f"WITH {_PV} SELECT greatest(ceil(round(pval / 0.05, 7)), 1)::INTEGER AS bin, count(*) AS n FROM pl WHERE pval BETWEEN 0 AND 1 GROUP BY 1")
+@query("pvalue_histogram", f"""WITH {_PV}, e AS (SELECT b::INTEGER AS bin, (b - 1) / 20.0::DOUBLE AS lo, b / 20.0::DOUBLE AS hi FROM range(1, 21) r(b))
+SELECT bin, count(*) AS n FROM pl JOIN e ON (pval > lo OR bin = 1) AND pval <= hi WHERE pval BETWEEN 0 AND 1 GROUP BY 1""")
 def q_hist(spark, sf):
     return summaries.histogram(_pvalues(spark, sf), "pval")
 
@@ -699,7 +700,8 @@ def q_hist(spark, sf):
 @query("ks_uniform_stat", f"""WITH {TRIAL}, c AS (SELECT recovery AS x, count(*) AS n FROM trial GROUP BY 1),
 k AS (SELECT x, n, sum(n) OVER (ORDER BY x) AS cum, sum(n) OVER () AS t FROM c),
 d AS (SELECT max(greatest(cum / t::DOUBLE - x, x - (cum - n) / t::DOUBLE)) AS d, max(t) AS t FROM k),
-s AS (SELECT d, t, (SELECT sum(2 * (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * t * d * d)) FROM range(1, 31) r(j)) AS pv FROM d)
+s AS (SELECT d, t, CASE WHEN d <= 0 THEN 1 WHEN t * d * d < 0.25 THEN 1 - sqrt(2 * pi() / (t * d * d)) * (SELECT sum(exp(-((2 * j - 1) * pi()) ** 2 / (8 * t * d * d))) FROM range(1, 60) r(j))
+ ELSE (SELECT sum(2 * (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * t * d * d)) FROM range(1, 60) r(j)) END AS pv FROM d)
 SELECT round(d, 6) AS d, t::BIGINT AS n, round(least(greatest(pv, 0), 1), 6) AS p_value FROM s""")
 def q_ks(spark, sf):
     return summaries.ks_uniform(trial(spark, sf), "recovery").select(r("d"), "n", r("p_value"))
@@ -951,34 +953,6 @@ def q_simulate(spark, sf):
     return s.select("id", "Z", *[r(f"f{j + 1}") for j in range(5)], r("eta"), r("time", 4), "status")
 
 
-@query("simulate_event_rate")
-def q_simulate_rate(spark, sf):
-    """Random censoring calibrated per priority class to three event rates, correlated log-free features."""
-    from mixhaz.operators.simulate import simulate_on
-
-    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("cell"))
-    out = None
-    for rate in (0.3, 0.55, 0.8):
-        s = simulate_on(ids, 4, 1.0, 2.0, rho=0.4, event_rate=rate, seed=f"r{rate}", keys=("cell",))
-        s = s.groupBy("cell").agg(F.lit(rate).alias("target"), F.round(F.avg("status"), 4).alias("observed"), F.count("*").alias("n"))
-        out = s if out is None else out.unionByName(s)
-    return out
-
-
-@query("simulation_study")
-def q_study(spark, sf):
-    """Six methods on one simulated data set per 500 orders; replicates grow with the table."""
-    from mixhaz.plans.experiments import run_study
-
-    rows = table(spark, sf, "orders").select(
-        F.floor(F.col("o_orderkey") / 500).cast("int").alias("rep"), F.col("o_orderkey").alias("id"))
-    rows = rows.withColumn("cell", F.pmod("rep", F.lit(2)))
-    cells = {0: {"mu_sep": 0.5, "beta_sep": 2.0}, 1: {"mu_sep": 2.0, "beta_sep": 2.0}}
-    got = _quiet(run_study, rows, cells, 5, **QUICK)
-    floats = {"recovery", "ari", "mse_eta", "sharpness", "contrast_norm", "min_eff_size", "min_eff_events"}
-    return got.select(*[r(c, 4) if c in floats else F.col(c) for c in got.columns])
-
-
 # ---------------------------------------------------------------- further steps and roll-ups
 
 _GATE = ((0.2, -0.2), {"z_price": (0.5, -0.5), "z_lines": (-0.3, 0.3), "z_disc": (0.1, -0.1)})
@@ -1028,18 +1002,10 @@ def q_pick(spark, sf):
 
 
 @query("union_by_name", f"""WITH {TRIAL} SELECT cell, method, count(*) AS n, count(secs) AS timed FROM (
- SELECT cell, method, rep, secs FROM trial WHERE method IN ('joint', 'oracle') UNION ALL SELECT cell, method, rep, NULL FROM trial WHERE method = 'gated') GROUP BY 1, 2""")
+ SELECT cell, method, rep, secs FROM trial WHERE NOT failed UNION ALL SELECT cell, method, rep, NULL FROM trial WHERE failed) GROUP BY 1, 2""")
 def q_union(spark, sf):
+    """Usable and failed rows of all methods; failed ones come without a time."""
     t = trial(spark, sf)
-    a = t.where(F.col("method").isin("joint", "oracle")).select("cell", "method", "rep", "secs")
-    b = t.where(F.col("method") == "gated").select("cell", "method", "rep")
-    both = a.unionByName(b, allowMissingColumns=True)
+    both = t.where(~F.col("failed")).select("cell", "method", "rep", "secs").unionByName(
+        t.where("failed").select("cell", "method", "rep"), allowMissingColumns=True)
     return both.groupBy("cell", "method").agg(F.count("*").alias("n"), F.count("secs").alias("timed"))
-
-
-@query("followup_times")
-def q_followup(spark, sf):
-    from mixhaz.operators.simulate import followup_times
-
-    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    return followup_times(ids, 5, 1.0, 2.0, [0.2, 0.4, 0.6, 0.8], seed="21").select("event_rate", r("followup", 4))

@@ -54,3 +54,41 @@ def test_salted_hot_time_on_the_table_grid(study, monkeypatch):
         monkeypatch.setattr("mixhaz.plans.fitting.build_panel", small_tasks)
         b = fit_mixture(tied, FEATS, driver_cells=0, **SHORT | {"max_iter": 1})
     assert np.allclose(a.beta, b.beta, atol=1e-10) and np.allclose(a.loglik, b.loglik)
+
+
+def test_fits_in_batches_equal_fits_at_once(study, monkeypatch):
+    """Ten fold fits that do not fit on the driver together: numbers stay unique, scores the same."""
+    from mixhaz.plans.fitting import cross_validate
+
+    df, _ = study
+    options = {"ks": (1, 2), "nfolds": 5, "criterion": "joint", "ident": "id", "tol": 1e-6, "max_iter": 2, "nstart": 4}
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        whole = cross_validate(df, FEATS, **options)
+        build = engine.Engine.__init__
+        seen = []
+
+        def tight(self, panel):
+            build(self, panel, max(panel.grid_size.values() if isinstance(panel.grid_size, dict) else panel.grid_size) * (2 + 3) * 3)
+
+        batches = engine.Engine.batches
+
+        def counted(self, fits):
+            out = batches(self, fits)
+            seen.append(len(out))
+            return out
+
+        monkeypatch.setattr(engine.Engine, "__init__", tight)
+        monkeypatch.setattr(engine.Engine, "batches", counted)
+        parts = cross_validate(df, FEATS, **options)
+    assert max(seen) > 1
+    assert np.allclose(whole.matrix, parts.matrix, atol=1e-6)
+    assert len(np.unique(np.round(parts.matrix, 9))) == 10
+
+
+def test_equal_rows_without_identifier_draw_different_outcomes(study):
+    from mixhaz.plans.fitting import ROW_ID, with_row_id
+
+    df, _ = study
+    rows = with_row_id(df.unionByName(df), [*FEATS, "time", "status"], None)
+    assert rows.count() == 600 and rows.select(ROW_ID).distinct().count() == 600
