@@ -12,6 +12,7 @@ from .fingerprints import op8_fingerprints
 from .lattice_lm import op7_lattice
 from .licenses import op2_licenses
 from .near_duplicates import op3_near_duplicates
+from .oracles import ORACLES  # noqa: F401
 from .quality import op5_quality
 from .recompression import op6_recompression
 from .suffix_dedup import op10_suffix_array
@@ -29,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_pairs": op9_byte_pairs,
     "op10_suffix_array": op10_suffix_array,
 }
-ORACLES: dict[str, str] = {}
+
