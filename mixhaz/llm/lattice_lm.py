@@ -22,6 +22,8 @@ FREQUENT = 500_000
 #: rank that is added to a piece's before it is inverted to a weight
 SHIFT = 2.7
 DP_WORDS = 50_000
+#: rounds in which the pieces' weights are fitted to the distinct training words; 0 takes the vocabulary's scores alone
+ROUNDS = 1
 
 
 def piece_weights(model_path: str) -> tuple[list[bytes], np.ndarray]:
@@ -60,7 +62,7 @@ class Lattice:
         values, (up, down) = _byte_values(0), _powers(self.longest + 1, 0)
         h = np.array([self._hash(np.sum(values[np.frombuffer(p, np.uint8)] * up[:len(p)], dtype=np.uint64), len(p)) for p in pieces], dtype=np.uint64)
         order = np.argsort(h)
-        self.table, self.log_p = h[order], log_p[order]
+        self.table, self.log_p, self.order = h[order], log_p[order], order
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.table >> np.uint64(42)).astype(np.int64)] = True
 
@@ -68,14 +70,15 @@ class Lattice:
     def _hash(x, size: int):
         return mix(np.atleast_1d(np.asarray(x, dtype=np.uint64) + np.uint64(size * 0xA24BAED4963EE407 % (1 << 64))))[0 if np.ndim(x) == 0 else slice(None)]
 
-    def _same_length(self, words: np.ndarray) -> np.ndarray:
-        """words: bytes, a row for each word, with the leading blank."""
+    def _arcs(self, words: np.ndarray):
+        """Forward sums and all arcs (begin, stop, words, pieces) of words of one length: bytes, a row for each, with the leading blank."""
         n, size = words.shape
         up, down = _powers(size + 1, 0)
         total = np.zeros((n, size + 1), dtype=np.uint64)
         np.cumsum(_byte_values(0)[words] * up[:size], axis=1, out=total[:, 1:])
         alpha = np.full((size + 1, n), -np.inf)
         alpha[0] = 0.0
+        arcs = []
         for stop in range(1, size + 1):
             for begin in range(max(0, stop - self.longest), stop):
                 h = self._hash((total[:, stop] - total[:, begin]) * down[begin], stop - begin)
@@ -85,15 +88,34 @@ class Lattice:
                     hit = self.table[place] == h[near]
                     near, place = near[hit], place[hit]
                     alpha[stop, near] = np.logaddexp(alpha[stop, near], alpha[begin, near] + self.log_p[place])
-        return alpha[size]
+                    arcs.append((begin, stop, near, place))
+        return alpha, arcs
 
-    def log_sums(self, words: list[bytes]) -> np.ndarray:
-        out = np.empty(len(words))
+    def _by_length(self, words: list[bytes]):
         size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         for n in np.unique(size):
             at = np.flatnonzero(size == n)
-            rows = np.frombuffer(b"".join([b" " + words[i] for i in at]), dtype=np.uint8).reshape(len(at), n + 1)
-            out[at] = self._same_length(rows)
+            yield at, np.frombuffer(b"".join([b" " + words[i] for i in at]), dtype=np.uint8).reshape(len(at), n + 1)
+
+    def log_sums(self, words: list[bytes]) -> np.ndarray:
+        out = np.empty(len(words))
+        for at, rows in self._by_length(words):
+            out[at] = self._arcs(rows)[0][-1]
+        return out
+
+    def expected(self, words: list[bytes]) -> np.ndarray:
+        """Expected number of times that each piece stands in the words, over all segmentations."""
+        count = np.zeros(len(self.table))
+        for _, rows in self._by_length(words):
+            alpha, arcs = self._arcs(rows)
+            beta = np.full(alpha.shape, -np.inf)
+            beta[-1] = -alpha[-1]
+            for begin, stop, near, place in reversed(arcs):
+                step = self.log_p[place] + beta[stop, near]
+                beta[begin, near] = np.logaddexp(beta[begin, near], step)
+                count += np.bincount(place, weights=np.exp(alpha[begin, near] + step), minlength=len(count))
+        out = np.empty(len(count))
+        out[self.order] = count
         return out
 
 
@@ -112,30 +134,59 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return map_texts(docs, count, "word binary, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def word_values(counts: DataFrame, model_path: str) -> DataFrame:
+def _batched(batches, work):
+    """`work` on tables of DP_WORDS rows and more, so that words of one length come together."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= DP_WORDS:
+            yield work(pa.Table.from_batches(held))
+            held, rows = [], 0
+    if rows:
+        yield work(pa.Table.from_batches(held))
+
+
+def fitted_weights(counts: DataFrame, pieces: list[bytes], log_p: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Log-probabilities after `rounds` of expectation and maximisation over the distinct training words, each once; the vocabulary's own weights
+    stay in as one count for each piece on average. A sum for each piece comes to the driver."""
+    first = np.exp(log_p)
+    for _ in range(rounds):
+        now = log_p
+
+        def run(batches):
+            lattice = Lattice(pieces, now)
+
+            def work(part: pa.Table) -> pa.RecordBatch:
+                count = lattice.expected(part["word"].to_pylist())
+                at = np.flatnonzero(count)
+                return pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["piece", "times"])
+
+            yield from _batched(batches, work)
+
+        times = first * len(pieces)
+        for piece, n in counts.filter("c > 0").select("word").mapInArrow(run, "piece long, times double").groupBy("piece").agg(F.sum("times")).collect():
+            times[piece] += n
+        log_p = np.log(times / times.sum())
+    return log_p
+
+
+def word_values(counts: DataFrame, model_path: str, rounds: int = ROUNDS) -> DataFrame:
     """(h, c, n, lattice): the words' hashes and the natural logarithms of their lattice sums."""
     pieces, log_p = piece_weights(model_path)
+    log_p = fitted_weights(counts, pieces, log_p, rounds)
 
     def run(batches):
-        lattice = None
+        lattice = Lattice(pieces, log_p)
 
-        def done(part: pa.Table) -> pa.RecordBatch:
+        def work(part: pa.Table) -> pa.RecordBatch:
             words = part["word"].to_pylist()
             chunk = Chunk(words, slice(0, len(words)))
             h = rolling_bytes(chunk.data).hash(chunk.begin, chunk.end)
             return pa.RecordBatch.from_arrays([as_long(h), part["c"].combine_chunks(), part["n"].combine_chunks(), pa.array(lattice.log_sums(words))],
                                               names=["h", "c", "n", "lattice"])
 
-        held, rows = [], 0
-        for batch in batches:
-            lattice = lattice or Lattice(pieces, log_p)
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= DP_WORDS:
-                yield done(pa.Table.from_batches(held))
-                held, rows = [], 0
-        if rows:
-            yield done(pa.Table.from_batches(held))
+        yield from _batched(batches, work)
 
     return counts.mapInArrow(run, "h long, c long, n long, lattice double")
 
@@ -160,7 +211,7 @@ def lattice_scores(docs: DataFrame, model_path: str, parts: int = 5, fold: int =
     are scored, each; other columns are left out.
     """
     docs = keyed(docs).withColumn("held_out", held_out(parts, fold))
-    values = cut(word_values(word_counts(docs), model_path))
+    values = cut(word_values(cut(word_counts(docs)), model_path))
     ends = docs.filter("not held_out").count()
     words, kinds = values.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.expr("int(c > 0)")), F.lit(0))).first()
     total, distinct = words + ends, kinds + (ends > 0)

@@ -265,6 +265,23 @@ class TestLattice:
         for w, got in zip(words, lattice.log_sums(words)):
             assert math.isclose(np.exp(got), total(b" " + w), rel_tol=1e-9, abs_tol=1e-300)
 
+        def cuts(text):
+            if not text:
+                yield 1.0, Counter()
+            for k, q in p.items():
+                if text.startswith(k):
+                    for r, c in cuts(text[len(k):]):
+                        yield q * r, c + Counter([k])
+
+        want = Counter()
+        for w in (w for w in words if w != b"c"):
+            every = list(cuts(b" " + w))
+            for q, c in every:
+                for k, n in c.items():
+                    want[k] += n * q / sum(x for x, _ in every)
+        got = lattice.expected([w for w in words if w != b"c"])
+        assert np.allclose(got, [want[k] for k in p])
+
 
 class TestFingerprints:
     def test_rows(self, spark):
