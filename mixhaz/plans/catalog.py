@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixhaz.functions import exprs as X
-from mixhaz.operators import metrics, mixture, resample, scaling, summaries, survival
+from mixhaz.operators import checks, metrics, mixture, resample, scaling, summaries, survival
 from mixhaz.operators.prefix import grouped_quantiles
 from mixhaz.sources.spells import FEATURES, INDICATOR, spells, table
 
@@ -1009,3 +1009,102 @@ def q_union(spark, sf):
     both = t.where(~F.col("failed")).select("cell", "method", "rep", "secs").unionByName(
         t.where("failed").select("cell", "method", "rep"), allowMissingColumns=True)
     return both.groupBy("cell", "method").agg(F.count("*").alias("n"), F.count("secs").alias("timed"))
+
+
+# ---------------------------------------------------------------- verdicts and checks
+
+def _mode_sql(mode: str) -> str:
+    """Paired differences of one scoring, as CTEs with that suffix."""
+    value = "CASE WHEN degenerate THEN sqrt(2 / (pi() * p)) ELSE recovery END" if mode == "floor" else "recovery"
+    keep = "NOT failed" if mode == "floor" else "NOT failed AND NOT degenerate"
+    pairs = " UNION ALL ".join(f"SELECT cell, '{c}' AS comparator, joint - {c} AS d FROM w_{mode}" for c in ("features_only", "two_stage", "single"))
+    return (f"w_{mode} AS (SELECT cell, rep, " + ", ".join(f"max({value}) FILTER (method = '{m}') AS {m}" for m in METHODS)
+            + f" FROM trial WHERE {keep} GROUP BY 1, 2), d_{mode} AS ({pairs}), p_{mode} AS (SELECT cell, comparator, '{mode}' AS scoring, avg(d) AS diff,"
+            f" stddev_samp(d) / sqrt(count(d)) AS e FROM d_{mode} GROUP BY 1, 2)")
+
+
+_SCORINGS = f"""{TRIAL}, {_mode_sql('exclude')}, {_mode_sql('floor')}, both_modes AS (SELECT * FROM p_exclude UNION ALL SELECT * FROM p_floor),
+verdict AS (SELECT *, CASE WHEN diff IS NULL OR e IS NULL THEN NULL WHEN diff > 2 * e THEN 'beats' WHEN diff < -2 * e THEN 'loses' ELSE 'matches' END AS verdict FROM both_modes)"""
+
+
+def _scorings(spark, sf):
+    t = trial(spark, sf)
+    out = None
+    for mode in ("exclude", "floor"):
+        w = summaries.wide(t, ["cell"], METHODS, mode=mode)
+        d = summaries.paired_differences(w, ["cell"], "joint", ["features_only", "two_stage", "single"]).withColumn("scoring", F.lit(mode))
+        out = d if out is None else out.unionByName(d)
+    return out.withColumn("verdict", checks.cell_verdict())
+
+
+@query("cell_verdicts", f"WITH {_SCORINGS} SELECT cell, comparator, scoring, round(diff, 6) AS diff, verdict FROM verdict")
+def q_cell_verdicts(spark, sf):
+    return _scorings(spark, sf).select("cell", "comparator", "scoring", r("diff"), "verdict")
+
+
+@query("verdict_regimes", f"""WITH {_SCORINGS}, g AS (SELECT CASE WHEN regexp_matches(cell, '^[12]-') THEN 'urgent' WHEN cell = '3-MEDIUM' THEN 'medium' ELSE 'slow' END AS regime, verdict
+  FROM verdict WHERE scoring = 'exclude')
+SELECT regime, count(verdict) AS cells, CASE WHEN count(verdict) = 0 THEN NULL WHEN bool_or(verdict = 'beats') AND bool_or(verdict = 'loses') THEN 'mixed'
+  WHEN bool_or(verdict = 'beats') THEN 'beats' WHEN bool_or(verdict = 'loses') THEN 'loses' ELSE 'matches' END AS verdict FROM g GROUP BY 1""")
+def q_regimes(spark, sf):
+    cells = _scorings(spark, sf).where("scoring = 'exclude'")
+    regime = F.when(F.col("cell").rlike("^[12]-"), "urgent").when(F.col("cell") == "3-MEDIUM", "medium").otherwise("slow")
+    return checks.regime_verdicts(cells, regime)
+
+
+@query("verdict_pivot", f"""WITH {_SCORINGS} SELECT cell, comparator, """ + ", ".join(
+    f"round(max({v}) FILTER (scoring = '{n}'), 6) AS {o}_{n}" for v, o in (("diff", "diff"), ("e", "diff_mcse")) for n in ("exclude", "floor")) + ", " + ", ".join(
+    f"max(verdict) FILTER (scoring = '{n}') AS verdict_{n}" for n in ("exclude", "floor")) + " FROM verdict GROUP BY 1, 2 ORDER BY 1 DESC, 2")
+def q_verdict_pivot(spark, sf):
+    got = checks.spread_values(_scorings(spark, sf), ["cell", "comparator"], "scoring", ["exclude", "floor"], ["diff", "diff_mcse", "verdict"])
+    return got.select("cell", "comparator", *[r(f"{v}_{n}") for v in ("diff", "diff_mcse") for n in ("exclude", "floor")],
+                      "verdict_exclude", "verdict_floor").orderBy(F.desc("cell"), "comparator")
+
+
+@query("manifest_left", f"""WITH {TRIAL}, m AS (SELECT l_orderkey AS rep, sum(l_quantity) AS total, any_value(o_orderpriority) AS cell FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  WHERE o_orderstatus <> 'P' GROUP BY 1), t AS (SELECT cell, rep, failed, sum(events) OVER (PARTITION BY cell, rep) - events * (CASE WHEN method = 'tight' THEN 1 ELSE 0 END) AS events FROM trial)
+SELECT cell, rep, count(*) AS checked, bool_or(total IS NULL) AS missing, bool_or(total IS NULL OR NOT (failed OR events = total)) AS bad FROM t LEFT JOIN m USING (cell, rep) GROUP BY 1, 2""")
+def q_manifest_left(spark, sf):
+    """Rows of results against a manifest of event totals that lacks the partly shipped orders; rows of the seventh method carry a wrong total."""
+    t = trial(spark, sf)
+    all_of = t.groupBy("cell", "rep").agg(F.sum("events").alias("total_events"))
+    rows = t.join(all_of, ["cell", "rep"]).withColumn("events", F.col("total_events") - F.when(F.col("method") == "tight", F.col("events")).otherwise(0))
+    kept = table(spark, sf, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("rep"), F.col("o_orderpriority").alias("cell"))
+    manifest = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("rep")).agg(F.sum("l_quantity").alias("total")).join(kept, "rep")
+    return checks.checked_against(rows, manifest, ["cell", "rep"], {"events": "total"}, "failed")
+
+
+@query("datasets_per_replicate", f"""WITH {TRIAL} SELECT cell, rep, count(DISTINCT CASE WHEN NOT failed THEN events END) AS datasets,
+ count(DISTINCT CASE WHEN NOT failed THEN events END) <= 1 AS consistent FROM trial GROUP BY 1, 2""")
+def q_datasets(spark, sf):
+    return checks.one_dataset_each(trial(spark, sf), ["cell", "rep"], "events", "failed")
+
+
+@query("two_tables_inner", f"""WITH {TRIAL}, j AS (SELECT a.cell, a.method, a.ari AS p_frozen, b.ari AS p_new FROM trial a JOIN trial b ON a.cell = b.cell AND a.rep = b.rep AND a.method = b.method
+  WHERE NOT a.failed AND NOT b.degenerate AND NOT b.failed)
+SELECT cell, method, count(*) AS datasets, round(avg((p_frozen <= 0.35)::INTEGER), 6) AS rejects_frozen, round(avg((p_new / 2 <= 0.35)::INTEGER), 6) AS rejects_new,
+ round(avg(((p_frozen <= 0.35) = (p_new / 2 <= 0.35))::INTEGER), 6) AS agree FROM j GROUP BY 1, 2""")
+def q_two_tables(spark, sf):
+    """Decisions of one result table against those of a second one with halved values, on the same (cell, rep, method)."""
+    t = trial(spark, sf)
+    new = t.where("not degenerate").withColumn("ari", F.col("ari") / 2)
+    got = checks.rejections_of_two(t, new, ["cell", "rep", "method"], ["cell", "method"], "ari", "failed", 0.35)
+    return got.select("cell", "method", "datasets", r("rejects_frozen"), r("rejects_new"), r("agree"))
+
+
+_SEPARATION = "CASE substr(cell, 1, 1) WHEN '1' THEN 0.5 WHEN '2' THEN 1.0 WHEN '3' THEN 2.0 WHEN '4' THEN 3.0 ELSE 4.0 END::DOUBLE"
+
+
+@query("pilot_verdicts", f"""WITH {TRIAL}, s AS (SELECT {_SEPARATION} AS beta_sep, method, avg(recovery) AS recovery, avg(ari) AS ari FROM trial WHERE NOT failed GROUP BY 1, 2),
+f AS (SELECT sqrt(2 / (pi() * 10)) AS fl), a AS (SELECT method, avg(recovery) - any_value(fl) AS above FROM s, f WHERE beta_sep >= 1 GROUP BY 1),
+g AS (SELECT beta_sep, (max(recovery) FILTER (method = 'joint') - max(recovery) FILTER (method = 'features_only')) / (beta_sep * beta_sep) AS x FROM s WHERE beta_sep >= 1 GROUP BY 1),
+o AS (SELECT (SELECT max(above) FROM a WHERE method IN ('single', 'two_stage', 'features_only')) AS b, (SELECT max(above) FROM a WHERE method = 'joint') AS i,
+  (SELECT stddev_samp(x) / avg(x) FROM g) AS v, (SELECT max(ari) FROM s WHERE method = 'joint') AS ra, (SELECT max(recovery - fl) FROM s, f WHERE method = 'joint') AS re)
+SELECT round(b, 6) AS blind_excess, round(i, 6) AS informed_excess, round(v, 4) AS variation, round(ra, 6) AS best_ari, round(re, 6) AS best_excess,
+ b < 0.05 AND i > 0.05 AS p1, v IS NOT NULL AND v < 0.5 AS p2, ra < 0.10 AND re > 0.05 AS p3 FROM o""")
+def q_pilot(spark, sf):
+    first = F.substring("cell", 1, 1)
+    sep = F.when(first == "1", 0.5).when(first == "2", 1.0).when(first == "3", 2.0).when(first == "4", 3.0).otherwise(4.0)
+    means = trial(spark, sf).where("not failed").groupBy(sep.alias("beta_sep"), "method").agg(F.avg("recovery").alias("recovery"), F.avg("ari").alias("ari"))
+    got = checks.pilot_verdicts(means, ["single", "two_stage", "features_only"], "joint", "features_only", F.lit(10))
+    return got.select(r("blind_excess"), r("informed_excess"), r("variation", 4), r("best_ari"), r("best_excess"), "p1", "p2", "p3")
