@@ -14,7 +14,7 @@ from .tables import cut, documents, keyed, small
 
 SIZE, K = 5, 128
 #: consecutive documents that are brought together to find each one's successor
-BUCKET = 1000
+BUCKET = 200
 
 
 def words_of(text: Column) -> Column:
