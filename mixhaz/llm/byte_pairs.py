@@ -18,23 +18,24 @@ from pyspark.sql import functions as F
 from .tables import documents
 
 #: words that a task remembers; new words that one query takes
-CACHE_WORDS, QUERY_WORDS = 300_000, 40_000
+CACHE_WORDS, QUERY_WORDS = 500_000, 40_000
 
+# A token's place is its word's number times 2**32 plus its first byte's, so one sort brings neighbours together.
 _ENCODE = """
-with recursive step(word, place, token, live) as (
-  select word, place, token, true from letters
+with recursive step(place, token, live) as (
+  select place, token, true from letters
   union all
-  select s.word, s.place, case when s.place = b.place then b.merged else s.token end, b.word is not null
+  select s.place, case when s.place = b.place then b.merged else s.token end, b.word is not null
   from step s left join (
-    select word, min(rank) // 4294967296 as merged, min(rank) % 4294967296 as place, arg_min(other, rank) as other
-    from (select n.word, n.other, m.merged::bigint * 4294967296 + n.place as rank
-          from (select word, place, token, lead(token) over w as following, lead(place) over w as other
-                from step where live window w as (partition by word order by place)) n
-          join merges m on m.first = n.token and m.second = n.following)
-    group by word) b on s.word = b.word
+    select word, min(rank) >> 32 as merged, (word << 32) + (min(rank) & 4294967295) as place, arg_min(other, rank) as other
+    from (select n.place >> 32 as word, n.other, (m.merged << 32) + (n.place & 4294967295) as rank
+          from (select place, token, lead(token) over w as following, lead(place) over w as other
+                from step where live window w as (order by place)) n
+          join merges m on m.pair = n.token * 65536 + n.following where n.other >> 32 = n.place >> 32)
+    group by word) b on s.place >> 32 = b.word
   where s.live and (b.word is null or s.place <> b.other))
-select s.word, string_agg(s.token::varchar, ' ' order by s.place) as ids, string_agg(v.hex, '' order by s.place) as bytes, count(*) as n
-from step s join vocabulary v on v.token = s.token where not s.live group by s.word
+select s.place >> 32 as word, string_agg(s.token::varchar, ' ' order by s.place) as ids, string_agg(v.hex, '' order by s.place) as bytes, count(*) as n
+from step s join vocabulary v on v.token = s.token where not s.live group by s.place >> 32
 """
 
 
@@ -42,6 +43,7 @@ class Coder:
     """Encodes words by the ranks of a tiktoken file; ids, decoded bytes and number of tokens of each."""
 
     def __init__(self, ranks_path: str, pattern: str):
+        """Tokens up to 65535 only: pairs are packed into one number."""
         import duckdb
         import regex
 
@@ -49,10 +51,11 @@ class Coder:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.pattern = regex.compile(pattern)
-        self.letters = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.letters = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        merges = pa.table([pa.array(c, pa.int32()) for c in zip(*pairs)], names=["first", "second", "merged"])  # noqa: F841
-        vocabulary = pa.table([pa.array(ranks.values(), pa.int32()), pa.array([t.hex() for t in ranks])], names=["token", "hex"])  # noqa: F841
+        first, second, merged = np.array(pairs, dtype=np.int64).T
+        merges = pa.table([pa.array(first * 65536 + second), pa.array(merged)], names=["pair", "merged"])  # noqa: F841
+        vocabulary = pa.table([pa.array(ranks.values(), pa.int64()), pa.array([t.hex() for t in ranks])], names=["token", "hex"])  # noqa: F841
         self.db.execute("create table merges as from merges").execute("create table vocabulary as from vocabulary")
         self.known: dict[str, tuple[str, bytes, int]] = {}
 
@@ -81,8 +84,8 @@ class Coder:
             size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
             word = np.repeat(np.arange(len(raw)), size)
             place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
-            letters = pa.table([pa.array(word), pa.array(place), pa.array(self.letters[np.frombuffer(b"".join(raw), np.uint8)])],  # noqa: F841
-                               names=["word", "place", "token"])
+            letters = pa.table([pa.array((word << 32) + place), pa.array(self.letters[np.frombuffer(b"".join(raw), np.uint8)])],  # noqa: F841
+                               names=["place", "token"])
             for w, ids, got, n in self.db.execute(_ENCODE).fetchall():
                 self.known[part[w]] = (ids, bytes.fromhex(got), n)
 
