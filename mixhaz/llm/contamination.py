@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import attach, cut, documents, keyed, read, small
+from .tables import attach, attach_few, cut, documents, keyed, read, small
 from .text import ALNUM, Chunk, Rolling, as_long, map_texts, sliding_minimum_places
 
 WINDOW, GRAM = 10, 5
@@ -129,7 +129,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
                 "start": start.astype(np.int32), "size": size.astype(np.int32), "w1": as_long(roll[0].hash(begin, begin + size)),
                 "w2": as_long(roll[1].hash(begin, begin + size))}
 
-    around = map_texts(attach(base, near, "inner"),
+    around = map_texts(attach_few(base, near),
                        extend, "doc_id long, key long, start int, size int, w1 long, w2 long")
     names = ["size", "w1", "w2"]
     same = cut(around.join(small(pairs.select(*names).distinct()), names, "left_semi").distinct())

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import attach, cut, documents, keyed, small
+from .tables import attach_few, cut, documents, keyed, small
 from .text import DARK, Chunk, Rolling, Words, as_long, flat_lists, lists, map_texts, mix, sliding_argmin, spread, take
 
 WINDOW = 50
@@ -125,7 +125,7 @@ def earlier_windows(docs: DataFrame, window: int = WINDOW, caps: tuple[int, ...]
         return take(rows, text[new]) | {"h": as_long(gram[new]), "b1": as_long(one[new]), "b2": as_long(two[new]),
                                         "los": lists((lo - first).astype(np.int32), each), "his": lists((hi - first).astype(np.int32), each)}
 
-    blocks = cut(map_texts(attach(texts, wanted, "inner"), contents, "doc_id long, key long, h long, b1 long, b2 long, los array<int>, his array<int>"))
+    blocks = cut(map_texts(attach_few(texts, wanted), contents, "doc_id long, key long, h long, b1 long, b2 long, los array<int>, his array<int>"))
     content = cut(blocks.groupBy("h", "b1", "b2").agg(F.min("doc_id").alias("first")))
     rims = content.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", F.lit(True).alias("rim"))
     judged = cut(blocks.join(content, ["h", "b1", "b2"]).join(rims, "h", "left").select(
@@ -143,7 +143,7 @@ def earlier_windows(docs: DataFrame, window: int = WINDOW, caps: tuple[int, ...]
         name = [Rolling(words.hashes(seed), seed).hash(at, at + window) for seed in (0, 1)]
         return take(rows, text) | {"place": place.astype(np.int32), "w1": as_long(name[0]), "w2": as_long(name[1])}
 
-    windows = map_texts(attach(texts, cut(ends), "inner"), single, "doc_id long, key long, place int, w1 long, w2 long")
+    windows = map_texts(attach_few(texts, cut(ends)), single, "doc_id long, key long, place int, w1 long, w2 long")
     lowest = cut(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("w1", "w2", "low"))
     one = (windows.join(small(lowest), ["w1", "w2"]).filter("doc_id > low").groupBy("doc_id", "key")
            .agg(F.collect_set("place").alias("los")).select("doc_id", "key", "los", F.col("los").alias("his")))
@@ -182,7 +182,7 @@ def passage_dedup(docs: DataFrame, window: int = WINDOW, caps: tuple[int, ...] =
             kept.append(b" ".join([data[s:e] for s, e in zip(words.begin[stay].tolist(), words.end[stay].tolist())]).decode("utf-8", "replace"))
         return {"doc_id": rows.column("doc_id"), "n_words": words.count, "n_removed": count, "kept": pa.array(kept, pa.string())}
 
-    return map_texts(attach(base, small(cut(gone), 50_000)), apply, "doc_id long, n_words long, n_removed long, kept string")
+    return map_texts(attach_few(base, cut(gone), "left"), apply, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op6_recompression(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .suffix_array import suffix_ranks
-from .tables import attach, cut, documents, keyed, small
+from .tables import attach_few, cut, documents, keyed, small
 from .text import Chunk, as_long, chunks, flat_lists, map_texts, rolling_bytes, sliding_argmin, spread, take
 
 LENGTH, GRAM = 200, 100
@@ -84,7 +84,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         return take(rows, text) | {"lo": (lo - chunk.begin[text]).astype(np.int32), "hi": (hi - chunk.begin[text]).astype(np.int32),
                                     "h": as_long(b.gram[at]), "b1": as_long(names[0]), "b2": as_long(names[1]), "again": again, "twice": twice}
 
-    blocks = cut(map_texts(attach(texts, wanted, "inner"), contents, "doc_id long, key long, lo int, hi int, h long, b1 long, b2 long, "
+    blocks = cut(map_texts(attach_few(texts, wanted), contents, "doc_id long, key long, lo int, hi int, h long, b1 long, b2 long, "
                            "again boolean, twice boolean").dropDuplicates(["key", "lo"]))
     # a text's second block of the same content repeats within it, and adds nothing to the order
     symbols = cut(blocks.filter("not again").withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("lo")) - 1))
@@ -110,7 +110,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         names = [rolling_bytes(chunk.data, seed).hash(at, at + length) for seed in (0, 1)]
         return take(rows, text) | {"place": place.astype(np.int32), "w1": as_long(names[0]), "w2": as_long(names[1])}
 
-    windows = map_texts(attach(texts, ends, "inner"), prefixes,
+    windows = map_texts(attach_few(texts, ends), prefixes,
                         "doc_id long, key long, place int, w1 long, w2 long")
     many = cut(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"))
     single = windows.join(small(many), ["w1", "w2"], "left_semi").select("doc_id", "key", F.col("place").alias("lo"), F.col("place").alias("hi"))
@@ -125,7 +125,7 @@ def _spans(base: DataFrame, length: int, gram: int) -> DataFrame:
     none = F.lit(None).cast("array<int>")
     spans = cut(found.withColumn("whole", F.lit(False)).unionByName(copies.select("doc_id", "key", none.alias("los"), none.alias("his"), F.lit(True).alias("whole")))
                 .groupBy("doc_id", "key").agg(F.first("los", True).alias("los"), F.first("his", True).alias("his"), F.max("whole").alias("whole")))
-    return attach(base, small(spans, 50_000))
+    return attach_few(base, spans, "left")
 
 
 def _gone(chunk: Chunk, rows: pa.RecordBatch, length: int) -> np.ndarray:

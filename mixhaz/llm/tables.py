@@ -56,3 +56,14 @@ def attach(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
     """Join `right` to `left` by key and doc_id, a null doc_id matching itself."""
     right = right.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
     return left.join(right, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), how).drop("_id", "_key")
+
+
+def attach_few(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Like `attach` for a cut table `right`. While its keys are few they are sent to every task, so that only matching rows shuffle."""
+    if right.count() > BROADCAST_ROWS:
+        return attach(left, right, how)
+    keys = F.broadcast(right.select("key").distinct())
+    found = attach(left.join(keys, "key", "left_semi"), right, how)
+    if how == "inner":
+        return found
+    return found.unionByName(left.join(keys, "key", "left_anti"), allowMissingColumns=True)
