@@ -203,7 +203,7 @@ def _frequent(values: DataFrame, most: int) -> int:
     return 1 << 62 if limit is None else int(np.ceil(2 ** (limit / 8) - 1e-9))
 
 
-def lattice_scores(docs: DataFrame, model_path: str, parts: int = 5, fold: int = 1, most: int = FREQUENT) -> DataFrame:
+def lattice_scores(docs: DataFrame, model_path: str, parts: int = 5, fold: int = 1, most: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
     """One row per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
 
     Tokens are the text's words (A-Z lower-cased, divided by blanks) and one end. Counts come from all rows outside the held-out fold; a null
@@ -211,18 +211,21 @@ def lattice_scores(docs: DataFrame, model_path: str, parts: int = 5, fold: int =
     are scored, each; other columns are left out.
     """
     docs = keyed(docs).withColumn("held_out", held_out(parts, fold))
-    values = cut(word_values(cut(word_counts(docs)), model_path))
+    values = cut(word_values(cut(word_counts(docs)), model_path, rounds))
     ends = docs.filter("not held_out").count()
     words, kinds = values.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.expr("int(c > 0)")), F.lit(0))).first()
     total, distinct = words + ends, kinds + (ends > 0)
     rest = max(distinct, 1)
     base_all, score_all = np.log10(total + 0.5 * (distinct + 1)), np.log10(total + rest + 1)
+    # a long word's lattice sum is below the least double; an unseen word's value stays a logarithm
+    unseen = lambda lattice: lattice / float(np.log(10)) + float(np.log10(rest))
     limit = _frequent(values, most)
     top = values.filter(F.col("n") >= limit).select("h", "c", "lattice").toArrow()  # at most `most` rows
     order = np.argsort(top["h"].to_numpy().view(np.uint64), kind="stable")
 
     def logs(c, lattice):
-        return np.log10(c + 0.5) - base_all, np.log10(c + rest * np.exp(lattice)) - score_all
+        seen = np.log10(np.maximum(c, 1) + rest * np.exp(lattice))
+        return np.log10(c + 0.5) - base_all, np.where(c > 0, seen, unseen(lattice)) - score_all
 
     c = top["c"].to_numpy()[order]
     sent = docs.sparkSession.sparkContext.broadcast((top["h"].to_numpy().view(np.uint64)[order], c > 0, *logs(c, top["lattice"].to_numpy()[order])))
@@ -258,7 +261,7 @@ def lattice_scores(docs: DataFrame, model_path: str, parts: int = 5, fold: int =
     found = values.filter(F.col("n") < limit).select(F.col("h").alias("g"), "c", "lattice")
     joined = made.join(found, (F.col("h") == F.col("g")) & ~F.col("head"), "left")
     plain = F.log10(F.col("c") + 0.5) - float(base_all)
-    full = F.log10(F.col("c") + float(rest) * F.exp("lattice")) - float(score_all)
+    full = F.when(F.col("c") > 0, F.log10(F.col("c") + float(rest) * F.exp("lattice"))).otherwise(unseen(F.col("lattice"))) - float(score_all)
     tail = F.when(F.col("head"), F.lit(0.0))
     each = joined.groupBy("doc_id", "key").agg(
         F.sum(F.col("head").cast("long")).alias("copies"), F.sum(F.when(F.col("head"), F.col("times"))).alias("n_tokens"),

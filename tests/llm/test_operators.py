@@ -252,6 +252,32 @@ class TestLattice:
             assert all(r["score"] < 0 for r in rows)
         assert lattice_scores(table(spark, []), path).count() == 0
 
+    def test_long_unseen_words(self, spark):
+        import public_tokenizers as public
+
+        from mixhaz.llm.lattice_lm import Lattice, lattice_scores, piece_weights
+
+        path = public.path("piece_bpe_32k.model")
+        ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 != 1][:12]
+        docs = [(i, prose(30 + i, 40)) for i in ids] + [(None, prose(30, 5) + " " + "漢字仮名" * 300 + " " + "q7Zx" * 500), (None, "é" * 2000)]
+        train = Counter(w for i, t in docs if i is not None for w in [*brute.dark(t), None])
+        n, v = sum(train.values()), len(train)
+        lattice = Lattice(*piece_weights(path))
+
+        def log_p(w):
+            if w is None:
+                return math.log((train[w] + 1) / (n + v + 1))
+            x = float(lattice.log_sums([w.encode()])[0])
+            return (np.logaddexp(math.log(train[w]), math.log(v) + x) if train[w] else math.log(v) + x) - math.log(n + v + 1)
+
+        want = [round(sum(log_p(w) for w in [*brute.dark(t), None]) / math.log(10), 4) for _, t in docs]
+        assert min(want) < -1000
+        for most in (500_000, 0):  # sent to every task, joined
+            plain = lattice_scores(table(spark, docs), path, most=most, rounds=0)
+            assert sorted(round(r["score"], 4) for r in plain.collect()) == sorted(want)
+            scores = [r["score"] for r in lattice_scores(table(spark, docs), path, most=most).collect()]
+            assert all(map(math.isfinite, scores)) and sum(s < -1000 for s in scores) == 2
+
     def test_all_segmentations(self):
         from mixhaz.llm.lattice_lm import Lattice
 
