@@ -12,6 +12,7 @@ from mixhaz.operators.survival import partial_loglik
 from mixhaz.plans import kernels
 from mixhaz.plans.engine import Engine, Fit, Job
 from mixhaz.plans.fitting import make_settings
+from mixhaz.plans.grids import DriverGrid
 from mixhaz.plans.inference import null_outcomes, p_value, with_row_id
 from mixhaz.plans.model import NotConvergedWarning
 from mixhaz.plans.panel import build_panel
@@ -237,3 +238,37 @@ def test_bootstrap_reproduces_the_model(spark):
     two = fit_mixture(df, feats, ident="id", k=2, **QUICK)
     drawn = null_outcomes(rows, 2, "bootstrap", 1, two)
     assert abs(drawn.agg(F.avg("status")).first()[0] - seen) < 0.06
+
+
+def test_every_kmeans_restart_runs_to_its_end(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.45, (25, 2)) for c in [(0, 0), (0, 3), (3, 0), (3, 3), (6, 1), (7, 5), (1, 7), (4, 8)]])
+    df = spark.createDataFrame([(i, float(i + 1), i % 2, float(a), float(b)) for i, (a, b) in enumerate(x)],
+                               "id int, time double, status int, f1 double, f2 double")
+
+    def ended(c):
+        while True:
+            near = ((z[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+            new = np.array([z[near == k].mean(axis=0) if (near == k).any() else c[k] for k in range(len(c))])
+            if np.array_equal(new, c):
+                return ((z - c[near]) ** 2).sum()
+            c = new
+
+    panel = build_panel(df, ["f1", "f2"], ["f1"], "time", "status", "id")
+    st = make_settings(8, nstart=12)
+    engine = Engine(panel)
+    fits = [Fit(i, Job(st, seed=i + 1), panel) for i in range(12)]
+    engine.grid = DriverGrid(panel)
+    z = (x - fits[0].gc) / fits[0].gs
+    starts, sweep = {}, engine.sweep
+
+    def watched(running, kernel, *args, **kwargs):
+        for f in running:
+            starts.setdefault(f.id, f.restarts.copy())
+        return sweep(running, kernel, *args, **kwargs)
+
+    engine.sweep = watched
+    engine.start_kmeans(fits)
+    for f in fits:
+        got = ((z[:, None] - f.centers) ** 2).sum(axis=2).min(axis=1).sum()
+        assert math.isclose(got, min(ended(c) for c in starts[f.id]), rel_tol=1e-9)
