@@ -820,43 +820,33 @@ def q_hash(spark, sf):
 
 FIT_CLUSTER = ["f_price", "f_lines", "f_disc"]
 FIT_HAZARD = ["f_price", "f_bal", "f_qty", INDICATOR]
-QUICK = {"tol": 1e-4, "max_iter": 12, "nstart": 8}
-
-
-def _quiet(fn, *args, **kwargs):
-    import warnings
-
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        return fn(*args, **kwargs)
 
 
 def _cluster_rows(spark, model) -> DataFrame:
     rows = [(c, round(float(model.pi[k]), 6), round(float(model.weight_sum[k]), 4), round(float(model.eff_events[k]), 4),
-             v, round(float(model.beta[j, k]), 12)) for k, c in enumerate(model.clusters) for j, v in enumerate(model.hazard_vars)]
-    return spark.createDataFrame(rows, "cluster string, pi double, weight_sum double, eff_events double, feature string, beta double")
+             v, round(float(model.beta[j, k]), 12), bool(model.converged)) for k, c in enumerate(model.clusters) for j, v in enumerate(model.hazard_vars)]
+    return spark.createDataFrame(rows, "cluster string, pi double, weight_sum double, eff_events double, feature string, beta double, converged boolean")
 
 
 @query("fit_mixture_cox")
 def q_fit(spark, sf):
     from mixhaz.plans.fitting import fit_mixture
 
-    return _cluster_rows(spark, _quiet(fit_mixture, spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id", k=2, **QUICK))
+    return _cluster_rows(spark, fit_mixture(spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id", k=2))
 
 
 @query("fit_cluster_baselines")
 def q_fit_cluster(spark, sf):
     from mixhaz.plans.fitting import fit_mixture
 
-    return _cluster_rows(spark, _quiet(fit_mixture, spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id", k=2,
-                                       baseline="cluster", covariance="full", **QUICK | {"max_iter": 5}))
+    return _cluster_rows(spark, fit_mixture(spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id", k=2, baseline="cluster", covariance="full"))
 
 
 @query("multistart")
 def q_multistart(spark, sf):
     from mixhaz.plans.fitting import fit_mixture
 
-    m = _quiet(fit_mixture, spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id", k=2, n_starts=4, init="random", **QUICK)
+    m = fit_mixture(spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id", k=2, n_starts=4, init="random")
     return spark.createDataFrame([(s["start"], s["seed"], round(s["final_score"], 4), s["converged"], s["start"] == m.best_start)
                                   for s in m.starts], "start int, seed int, final_score double, converged boolean, kept boolean")
 
@@ -867,18 +857,19 @@ def q_fitted_scores(spark, sf):
     from mixhaz.plans.fitting import fit_mixture
 
     s = spell(spark, sf)
-    m = _quiet(fit_mixture, s, FIT_CLUSTER, FIT_HAZARD, ident="id", k=2, **QUICK)
+    m = fit_mixture(s, FIT_CLUSTER, FIT_HAZARD, ident="id", k=2)
     out = m.predict(m.predict(m.predict(s, "tau"), "lp"), "survival", PREDICT_TIMES)
     return out.select("id", r("tau_1"), r("tau_2"), r("lp"), *[F.round(F.col(f"`t={t:.4g}`"), 6).alias(f"s_{i}")
-                                                            for i, t in enumerate(PREDICT_TIMES)])
+                                                            for i, t in enumerate(PREDICT_TIMES)],
+                      F.lit(bool(m.converged)).alias("converged"))
 
 
 @query("cv_by_fold")
 def q_cv(spark, sf):
     from mixhaz.plans.fitting import cross_validate
 
-    cv = _quiet(cross_validate, spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id", ks=(1, 2), nfolds=5, criterion="joint", **QUICK)
-    return cv.frame(spark).select("fold", "k", r("partial", 4), r("gmm", 4), r("value", 4))
+    cv = cross_validate(spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id", ks=(1, 2), nfolds=5, criterion="joint")
+    return cv.frame(spark).select("fold", "k", r("partial", 4), r("gmm", 4), r("value", 4), "converged")
 
 
 @query("run_cv_final_model")
@@ -887,8 +878,8 @@ def q_run_cv(spark, sf):
     from mixhaz.sources.readers import assign_roles
 
     prepared = assign_roles(spell(spark, sf).drop("id"), "time", "status", INDICATOR)
-    cv = _quiet(run_cv, prepared, (1, 2), 3, FIT_CLUSTER, ["f_price", "f_bal", "f_qty"], **QUICK | {"max_iter": 6})
-    m = _quiet(final_model, cv, prepared, FIT_CLUSTER, ["f_price", "f_bal", "f_qty"], nseeds=2, **QUICK | {"max_iter": 6})
+    cv = run_cv(prepared, vargmm=FIT_CLUSTER, varcox=["f_price", "f_bal", "f_qty"])
+    m = final_model(cv, prepared, FIT_CLUSTER, ["f_price", "f_bal", "f_qty"])
     return _cluster_rows(spark, m).withColumn("cindex", F.lit(round(m.metrics["cindex"], 6)))
 
 
@@ -896,32 +887,32 @@ def q_run_cv(spark, sf):
 def q_test(spark, sf):
     from mixhaz.plans.inference import heterogeneity_test
 
-    t = _quiet(heterogeneity_test, spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id", b=9, **QUICK | {"max_iter": 6})
-    return t.frame(spark).select("b", r("stat", 4), "is_null").withColumn("p_value", F.lit(round(t.p_value, 6)))
+    t = heterogeneity_test(spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id")
+    return t.frame(spark).select("b", r("stat", 4), "is_null").withColumn("p_value", F.lit(round(t.p_value, 6))).withColumn("n_not_converged", F.lit(t.n_not_converged))
 
 
 @query("permutation_test_cv")
 def q_perm_test(spark, sf):
     from mixhaz.plans.inference import heterogeneity_test
 
-    t = _quiet(heterogeneity_test, spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id", statistic="cv", null="permutation",
-               b=4, nfolds=3, **QUICK | {"max_iter": 4})
-    return t.frame(spark).select("b", r("stat", 4), "is_null").withColumn("p_value", F.lit(round(t.p_value, 6)))
+    t = heterogeneity_test(spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id", statistic="cv", null="permutation")
+    return t.frame(spark).select("b", r("stat", 4), "is_null").withColumn("p_value", F.lit(round(t.p_value, 6))).withColumn("n_not_converged", F.lit(t.n_not_converged))
 
 
 @query("sequential_k")
 def q_sequential(spark, sf):
     from mixhaz.plans.inference import sequential_k
 
-    got = _quiet(sequential_k, spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, max_k=3, b=4, level=0.25, ident="id", **QUICK | {"max_iter": 4})
-    return spark.createDataFrame([(n, p, got["k"]) for n, p in got["p_values"].items()], "test string, p_value double, k int")
+    got = sequential_k(spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, b=99, ident="id")
+    return spark.createDataFrame([(n, p, got["k"], got["n_not_converged"][n]) for n, p in got["p_values"].items()],
+                                 "test string, p_value double, k int, n_not_converged int")
 
 
 @query("competitor_fit")
 def q_gated(spark, sf):
     from mixhaz.plans.gated import fit_gated
 
-    m = _quiet(fit_gated, spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id", **QUICK)
+    m = fit_gated(spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id")
     gates = spark.createDataFrame([(f"C{k + 1}", round(float(m.gate[0, k]), 6)) for k in range(m.k)], "cluster string, gate double")
     return _cluster_rows(spark, m).drop("pi").join(gates, "cluster")
 

@@ -22,5 +22,27 @@ def test_fit_queries_run(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name, function", [
+    ("fit_mixture_cox", "fitting.fit_mixture"), ("fit_cluster_baselines", "fitting.fit_mixture"), ("multistart", "fitting.fit_mixture"),
+    ("fitted_scores", "fitting.fit_mixture"), ("cv_by_fold", "fitting.cross_validate"), ("run_cv_final_model", "fitting.run_cv"),
+    ("heterogeneity_test", "inference.heterogeneity_test"), ("permutation_test_cv", "inference.heterogeneity_test"),
+    ("sequential_k", "inference.sequential_k"), ("competitor_fit", "gated.fit_gated")])
+def test_fit_queries_run_to_their_end(spark, monkeypatch, name, function):
+    class Called(Exception):
+        pass
+
+    seen = {}
+
+    def called(*args, **options):
+        seen.update(options)
+        raise Called
+
+    monkeypatch.setattr(f"mixhaz.plans.{function}", called)
+    with pytest.raises(Called):
+        entry.queries()[name](spark, SF)
+    assert not seen.keys() & {"tol", "max_iter", "nstart", "max_k", "ncmp", "nseeds"}
+    assert seen.get("b", 200) >= 99 and seen.get("nfolds", 5) >= 5
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1500
