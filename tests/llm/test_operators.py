@@ -96,6 +96,32 @@ class TestLicenses:
         assert got[30][0]["labels"] == got[31][0]["labels"] == "bsd" and got[32][0]["labels"] == "cc-by-nc"
         assert license_scan(table(spark, [])).count() == 0
 
+    def test_related_notices(self, spark):
+        from mixhaz.llm.licenses import NOTICES, license_scan
+
+        text = dict(NOTICES)
+        terms = "under the terms of the GNU %s as published by the Free Software Foundation"
+        by = "This work is licensed under a Creative Commons Attribution%s License"
+        want = {
+            text["gpl"]: "gpl", terms % "General Public License": "gpl", terms % "Lesser General Public License": "gpl,lgpl",  # by its phrase, too
+            text["gpl"].replace("General", "Lesser General"): "gpl,lgpl", by % " 4.0 International": "cc-by", by % " 3.0 Unported": "cc-by",
+            by % "-ShareAlike 4.0 International": "", by % "-NonCommercial 4.0 International": "", "Licensed under CC BY-NC 4.0": "cc-by-nc",
+            "Licensed under CC BY-NC 3.0": "cc-by-nc", "Licensed under CC BY 4.0": "", "Licensed under CC BY-NC-SA 4.0": "",
+            text["mit"] + ". " + text["apache"]: "apache,mit",
+        }
+        got = {r["doc_id"]: r for r in license_scan(table(spark, enumerate(want))).collect()}
+        assert {t: got[i]["labels"] for i, t in enumerate(want)} == want
+
+    def test_competing_spans(self, spark):
+        from pyspark.sql import functions as F
+
+        from mixhaz.llm.licenses import _winners
+
+        rows = [([(1, -0.9, 0, 20, "a"), (1, -0.8, 5, 15, "b"), (1, -0.7, 40, 50, "b"), (0, -0.7, 44, 60, "c")],)]
+        df = spark.createDataFrame(rows, "s array<struct<rank int, loss double, start int, stop int, label string>>")
+        kept = df.select(_winners(F.col("s")).alias("s")).first()["s"]
+        assert [(x["label"], x["start"]) for x in kept] == [("c", 44), ("a", 0)]
+
 
 class TestNearDuplicates:
     @pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])
