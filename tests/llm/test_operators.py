@@ -395,6 +395,21 @@ class TestBytePairs:
         assert sorted([(r["doc_id"], r["n_tokens"], r["ids"], bytes(r["decoded"])) for r in rows], key=repr) == expected(want)
         assert encode_decode(table(spark, []), path, pattern).count() == 0
 
+    def test_long_match(self, spark):
+        import base64
+
+        import tiktoken
+        from mixhaz.llm.byte_pairs import encode_decode, public_vocabulary
+
+        path, pattern = public_vocabulary()
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        code = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        docs = [(1, "x" * 4000), (2, prose(12, 3000).replace(" ", "")[:3000])]
+        rows = encode_decode(table(spark, docs), path, pattern).collect()
+        assert {r["doc_id"]: (r["ids"], bytes(r["decoded"])) for r in rows} == {
+            i: (" ".join(map(str, code.encode_ordinary(t))), t.encode()) for i, t in docs}
+
 
 class TestSuffixArray:
     def test_order(self, spark):
