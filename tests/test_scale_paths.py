@@ -3,7 +3,7 @@
 import warnings
 
 import numpy as np
-from conftest import SF
+from paths import SF
 from pyspark.sql import functions as F
 
 from mixhaz import fit_mixture
