@@ -53,5 +53,27 @@ kept AS (SELECT doc_id, string_agg(CASE WHEN y IS NULL THEN substr(h, 2 * x + 1)
 SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
   sha256(unhex(CASE WHEN n IS NULL THEN h ELSE t END)) AS kept_sha256 FROM d LEFT JOIN each USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
+PREFIX_TRIE = """
+WITH turns AS (SELECT conv_id, turn, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+    length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'id': id, 'n': n} ORDER BY turn NULLS FIRST, id) AS t FROM turns GROUP BY 1),
+crc AS (SELECT i, list_reduce([i] || range(1, 9), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) r(i)),
+crcs AS (SELECT list(v ORDER BY i) AS tab FROM crc),
+h AS (SELECT conv_id, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+    lambda c, b: xor(c // 256, tab[(xor(c, b) & 255) + 1])), 4294967295) % 6 AS h FROM own, crcs),
+r AS (SELECT o.conv_id AS c, coalesce(b.t, [])[:h.h] || o.t[h.h + 1:] AS t
+  FROM own o JOIN h USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100),
+p AS (SELECT c, d, array_to_string(list_transform(t[:d], lambda x: x.id), '') AS k, CASE WHEN d > 0 THEN t[d].n ELSE 0 END AS n, d = len(t) AS ends
+  FROM (SELECT c, t, unnest(range(0, len(t) + 1)) AS d FROM r)),
+node AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, any_value(n) AS n, coalesce(string_agg(CASE WHEN ends THEN c END::VARCHAR, ',' ORDER BY c), '') AS e
+  FROM p GROUP BY k, d),
+kids AS (SELECT k[:-33] AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+each AS (SELECT k, CASE WHEN k NOT IN (SELECT k FROM kids) THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * n AS saved, d FROM node),
+sums AS (SELECT k[:32 * u] AS k, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS u FROM each) GROUP BY 1)
+SELECT x.conv_id, x.d::BIGINT AS depth, y.conv_id AS parent_conv_id, x.n_convs::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+  n_leaves, saved_tokens, sha256(x.e) AS ends_sha256
+FROM node x JOIN sums USING (k) LEFT JOIN kids USING (k) LEFT JOIN node y ON x.d > 0 AND y.k = x.k[:-33]"""
+
 ORACLES = {"op1_decontaminate": CONTAMINATION, "op3_near_duplicates": NEAR_DUPLICATES, "op6_recompression": PASSAGES,
-           "op10_suffix_array": REPEATED_BYTES}
+           "op10_suffix_array": REPEATED_BYTES, "op11_prefix_trie": PREFIX_TRIE}

@@ -13,6 +13,7 @@ from .lattice_lm import op7_lattice
 from .licenses import op2_licenses
 from .near_duplicates import op3_near_duplicates
 from .oracles import ORACLES  # noqa: F401
+from .prefix_trie import op11_prefix_trie
 from .quality import op5_quality
 from .recompression import op6_recompression
 from .suffix_dedup import op10_suffix_array
@@ -29,5 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_byte_pairs": op9_byte_pairs,
     "op10_suffix_array": op10_suffix_array,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
