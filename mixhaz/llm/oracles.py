@@ -75,5 +75,18 @@ SELECT x.conv_id, x.d::BIGINT AS depth, y.conv_id AS parent_conv_id, x.n_convs::
   n_leaves, saved_tokens, sha256(x.e) AS ends_sha256
 FROM node x JOIN sums USING (k) LEFT JOIN kids USING (k) LEFT JOIN node y ON x.d > 0 AND y.k = x.k[:-33]"""
 
+HARD_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND (a.label <> b.label OR a.vec_id <> b.vec_id)),
+pos AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 3"""
+
 ORACLES = {"op1_decontaminate": CONTAMINATION, "op3_near_duplicates": NEAR_DUPLICATES, "op6_recompression": PASSAGES,
-           "op10_suffix_array": REPEATED_BYTES, "op11_prefix_trie": PREFIX_TRIE}
+           "op10_suffix_array": REPEATED_BYTES, "op11_prefix_trie": PREFIX_TRIE,
+           "op13_hard_negatives": HARD_NEGATIVES}

@@ -16,6 +16,7 @@ from .oracles import ORACLES  # noqa: F401
 from .prefix_trie import op11_prefix_trie
 from .quality import op5_quality
 from .recompression import op6_recompression
+from .residue_search import op13_hard_negatives
 from .suffix_dedup import op10_suffix_array
 from .toxicity import op4_toxicity
 
@@ -31,5 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_pairs": op9_byte_pairs,
     "op10_suffix_array": op10_suffix_array,
     "op11_prefix_trie": op11_prefix_trie,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
