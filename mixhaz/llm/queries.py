@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_pairs import op9_byte_pairs
 from .contamination import op1_decontaminate
+from .disclosure import op12_private_data
 from .fingerprints import op8_fingerprints
 from .lattice_lm import op7_lattice
 from .licenses import op2_licenses
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_pairs": op9_byte_pairs,
     "op10_suffix_array": op10_suffix_array,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_private_data": op12_private_data,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
