@@ -101,12 +101,11 @@ def hash_rank(df: DataFrame, seed, ident: str, keys: Sequence[str] = (), out: st
     return ranked.drop("_u", PIECE)
 
 
-def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Ranks of `value` with ties averaged, attached to every row."""
+def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """One row for each distinct `value`: its rank with ties averaged."""
     counts = df.groupBy(value).agg(F.count("*").alias("_n")).persist()
     upto = running_totals(cut(counts, value), [value], {"_cum": "_n"})
-    ranks = upto.select(value, (F.col("_cum") - (F.col("_n") - 1) / 2).alias(out))
-    return df.join(ranks, value)
+    return upto.select(value, (F.col("_cum") - (F.col("_n") - 1) / 2).alias(out))
 
 
 def grouped_quantiles(

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mixhaz.operators.metrics import random_floor
-from mixhaz.operators.prefix import average_rank, cut, running_totals
+from mixhaz.operators.lookup import asof
+from mixhaz.operators.prefix import average_ranks, cut, running_totals
 
 
 def mcse(x: Column | str) -> Column:
@@ -126,6 +127,11 @@ def best_row(rows: DataFrame, by: Sequence[str], score: str, tie: str) -> DataFr
     return picked.select(*by, "b.*")
 
 
+def exact_mean(x: Column, digits: int = 9) -> Column:
+    """Average of values rounded to `digits`, summed as decimals: the same whatever the order of rows, so it may be compared with an edge."""
+    return F.sum(x.cast(f"decimal(18,{digits})")).cast("double") / F.count(x)
+
+
 def histogram(df: DataFrame, x: str, bins: int = 20, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Counts in equal bins, right-closed, the first including its lower end. Bin b ends at low + b * (high - low) / bins, as a double."""
     def edge(b):
@@ -153,8 +159,11 @@ def ks_uniform(df: DataFrame, x: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation with averaged ties."""
-    ranked = average_rank(average_rank(df.select(x, y), x, "_rx"), y, "_ry")
+    """Rank correlation with averaged ties. Rows find their ranks through the index of an as-of lookup, so a common value is no hot key."""
+    rows = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()).persist()
+    ranked = rows
+    for name, rank in ((x, "_rx"), (y, "_ry")):
+        ranked = asof(ranked, average_ranks(rows, name, rank), name, [rank])
     return ranked.agg(F.corr("_rx", "_ry").alias("rho"))
 
 

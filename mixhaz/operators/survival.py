@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from mixhaz.functions.exprs import clamp
 from mixhaz.operators.lookup import asof
 from mixhaz.operators.prefix import PIECE, cut, running_totals
+from mixhaz.operators.ranking import dominance
 
 MAX_JUMP = 10.0
 MAX_CUMHAZ = 500.0
@@ -185,36 +186,18 @@ def concordance(df: DataFrame, score: Column | str, time: str = "time", status:
     """Share of comparable pairs in which the earlier event has the higher score (ties count half).
 
     A pair is comparable when the earlier row is an event, or when both times are
-    equal and exactly one is an event (the other outlives it). Pairs are counted
-    by splitting positions bit by bit: two rows first differ at exactly one bit, and
-    there they share a group, so a running count along the score per (bit, group)
-    covers every pair once in O(n log n), with no pair ever materialised.
+    equal and exactly one is an event (the other outlives it). Pairs are counted as
+    inversions of two orders (see `ranking`); none is materialised.
     """
     cells = df.select(F.col(time).cast("double").alias("time"), F.col(status).cast("int").alias("d"),
                       _expr(score).cast("double").alias("score"))
-    times = cells.groupBy("time").agg(F.max("d").alias("has_event")).persist()
-    seen = running_totals(cut(times, "time"), ["time"], {"pos": "has_event"}).select("time", "pos")
-    placed = cells.join(seen, "time").select(
-        (F.col("pos") * 2 + (1 - F.col("d"))).alias("pos"), "score", "d")
-    placed = placed.groupBy("pos", "score").agg(
+    cells = cells.groupBy("time", (1 - F.col("d")).alias("out"), "score").agg(
         F.count("*").cast("double").alias("n"), F.sum("d").cast("double").alias("e")).persist()
-
-    by_pos = placed.groupBy("pos").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
-    later = running_totals(cut(by_pos, "pos"), ["pos"], {"from_here": "n"}, descending=True)
-    comparable = later.agg(F.sum(F.col("e") * (F.col("from_here") - F.col("n"))).alias("c"))
-
-    top_bit = by_pos.agg(F.floor(F.log2(F.greatest(F.max("pos"), F.lit(1)).cast("double"))).cast("int").alias("b")).scalar()
-    split = placed.select("*", F.explode(F.sequence(F.lit(0), top_bit)).alias("bit"))
-    # Spark shifts by a constant only in its function API; the SQL form takes a column
-    split = split.withColumn("right", F.expr("shiftright(pos, bit) & 1"))
-    split = split.withColumn("grp", F.expr("shiftright(shiftright(pos, bit), 1)"))
-    merged = split.groupBy("bit", "grp", "score").agg(
-        F.sum(F.when(F.col("right") == 1, F.col("n")).otherwise(0.0)).alias("later_n"),
-        F.sum(F.when(F.col("right") == 0, F.col("e")).otherwise(0.0)).alias("event_n"))
-    below = running_totals(cut(merged, "score", source=placed), ["score"], {"upto": "later_n"}, ["bit", "grp"])
-    pairs = below.agg(
-        F.sum(F.col("event_n") * (F.col("upto") - F.col("later_n"))).alias("concordant"),
-        F.sum(F.col("event_n") * F.col("later_n")).alias("tied"))
-    out = pairs.withColumn("comparable", comparable.scalar())
-    return out.select("comparable", "concordant", "tied",
-                      ((F.col("concordant") + F.col("tied") / 2) / F.col("comparable")).alias("concordance"))
+    by_time = cells.groupBy("time").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).persist()
+    later = running_totals(cut(by_time, "time"), ["time"], {"from_here": "n"}, descending=True)
+    comparable = later.agg(F.sum(F.col("e") * (F.col("from_here") - F.col("e")))).first()[0]
+    concordant, tied = dominance(cells)
+    cells.unpersist()
+    by_time.unpersist()
+    return df.sparkSession.createDataFrame([(comparable, concordant, tied)], "comparable double, concordant double, tied double").select(
+        "*", F.try_divide(F.col("concordant") + F.col("tied") / 2, "comparable").alias("concordance"))

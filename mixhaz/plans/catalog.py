@@ -93,8 +93,8 @@ tau AS (SELECT *, g1 + s1 AS l1, g2 + s2 AS l2, 1 / (1 + exp(g2 + s2 - g1 - s1))
 TRIAL = """trial AS (SELECT o_orderpriority AS cell, l_orderkey AS rep,
     CASE l_linenumber WHEN 1 THEN 'single' WHEN 2 THEN 'two_stage' WHEN 3 THEN 'features_only'
       WHEN 4 THEN 'joint' WHEN 5 THEN 'oracle' WHEN 6 THEN 'gated' ELSE 'tight' END AS method,
-    10 AS p, avg(1 / (1 + l_extendedprice / 50000.0)) AS recovery, avg(l_discount * 10) AS ari,
-    avg(l_tax * 10) AS mse_eta, sum(l_quantity) AS events, avg(l_extendedprice / 1000.0) AS secs,
+    10 AS p, avg(1 / (1 + l_extendedprice / 50000.0)) AS recovery, sum((l_discount * 10)::DECIMAL(18, 9))::DOUBLE / count(*) AS ari,
+    sum((l_tax * 10)::DECIMAL(18, 9))::DOUBLE / count(*) AS mse_eta, sum(l_quantity) AS events, avg(l_extendedprice / 1000.0) AS secs,
     bool_or(l_returnflag = 'R' AND l_tax > 0.07) AS failed,
     bool_or(l_linestatus = 'O' AND l_discount > 0.085) AS degenerate
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)"""
@@ -156,7 +156,7 @@ def trial(spark, sf) -> DataFrame:
     return li.groupBy(F.col("o_orderpriority").alias("cell"), F.col("l_orderkey").alias("rep"),
                       method.alias("method")).agg(
         F.max(F.lit(10)).alias("p"), F.avg(1 / (1 + F.col("l_extendedprice") / 50000.0)).alias("recovery"),
-        F.avg(F.col("l_discount") * 10).alias("ari"), F.avg(F.col("l_tax") * 10).alias("mse_eta"),
+        summaries.exact_mean(F.col("l_discount") * 10).alias("ari"), summaries.exact_mean(F.col("l_tax") * 10).alias("mse_eta"),
         F.sum("l_quantity").alias("events"), F.avg(F.col("l_extendedprice") / 1000.0).alias("secs"),
         F.bool_or((F.col("l_returnflag") == "R") & (F.col("l_tax") > 0.07)).alias("failed"),
         F.bool_or((F.col("l_linestatus") == "O") & (F.col("l_discount") > 0.085)).alias("degenerate"))

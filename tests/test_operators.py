@@ -4,15 +4,20 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mixhaz.operators import lookup, prefix, resample, summaries, survival
+from mixhaz.operators import lookup, prefix, ranking, resample, summaries, survival
 from mixhaz.operators.scaling import InputError, check_scalar
 
 
-@pytest.fixture(params=["small", "pieces"])
+@pytest.fixture(params=["small", "leaves", "pieces"])
 def size(request, monkeypatch):
-    """Run a test with one-task ordering and with ordering cut into pieces."""
-    if request.param == "pieces":
+    """Run a test with one-task ordering and one index, with ordering cut into pieces and an index of leaves, and without an index."""
+    if request.param != "small":
         monkeypatch.setattr(prefix, "SMALL_TABLE", 0)
+        monkeypatch.setattr(ranking, "BLOCK_ROWS", 40)
+        monkeypatch.setattr(lookup, "INDEX_ROWS", 2)
+        monkeypatch.setattr(lookup, "LEAF", 3)
+    if request.param == "pieces":
+        monkeypatch.setattr(lookup, "_by_leaves", lambda *a: lookup._by_pieces(*a[:-1]))
     return request.param
 
 
@@ -24,13 +29,13 @@ def test_cumhaz_lookup(spark, size):
     assert [r["cumhaz"] for r in survival.cumhaz_at(asked, survival.empty_baseline(spark)).collect()] == [0] * 7
 
 
-def test_jump_lookup_before_grid(spark):
+def test_jump_lookup_before_grid(spark, size):
     grid = spark.createDataFrame([(2.0, .3), (4.0, .5)], "time double, jump double")
     asked = spark.createDataFrame([(1.0,), (2.0,), (9.0,)], "time double")
     assert [r["jump"] for r in survival.jump_at(asked, grid).orderBy("time").collect()] == [.3, .3, .5]
 
 
-def test_forward_lookup_skips_empty_pieces(spark):
+def test_forward_lookup_skips_empty_pieces(spark, size):
     rng = np.random.default_rng(1)
     g = np.sort(np.concatenate([rng.random(50), 100 + rng.random(50)]))
     q = np.concatenate([rng.random(30) * 120, [g[3], g[-1], g[-1] + 1]])
@@ -43,6 +48,34 @@ def test_forward_lookup_skips_empty_pieces(spark):
         assert got == {j: (int(w) if 0 <= w < len(g) else None) for j, w in enumerate(want)}
 
 
+def test_lookup_by_key_with_missing_values(spark, size):
+    rng = np.random.default_rng(9)
+    grid = [(k, float(t), int(v)) for k in ("a", "b", None) for t, v in zip(np.sort(rng.choice(60, 20, replace=False)), rng.integers(0, 99, 20))]
+    asked = [(i, k, None if i % 11 == 0 else float(t)) for i, (k, t) in enumerate(zip(rng.choice(["a", "b", "c"], 90), rng.integers(-5, 70, 90)))]
+    asked = [(i, str(k), 7.0 if i % 3 == 0 and t is not None else t) for i, k, t in asked]  # a third asks for one value
+    g = spark.createDataFrame(grid, "k string, t double, v long")
+    q = spark.createDataFrame(asked, "i int, k string, t double")
+    for way in ("backward", "forward"):
+        got = {r["i"]: r["v"] for r in lookup.asof(q, g, "t", ["v"], keys=["k"], direction=way).collect()}
+        for i, k, t in asked:
+            near = sorted((x, v) for key, x, v in grid if key == k and t is not None and (x <= t if way == "backward" else x >= t))
+            assert got[i] == (None if not near else near[-1 if way == "backward" else 0][1])
+
+
+def test_inversions():
+    rng = np.random.default_rng(2)
+    t, e, n = rng.integers(0, 9, 200), rng.random(200), rng.random(200)
+    want = sum(e[i] * n[:i][t[:i] > t[i]].sum() for i in range(200))
+    assert ranking.inversions(t, e, n) == pytest.approx(want)
+
+
+def test_exact_mean_does_not_depend_on_order(spark):
+    values = [0.1 * k for k in range(1, 10)] * 50
+    got = [spark.createDataFrame([(v,) for v in rows], "x double").repartition(n).agg(summaries.exact_mean(F.col("x"))).first()[0]
+           for rows, n in ((values, 1), (values[::-1], 7), (sorted(values), 3))]
+    assert got == [0.5, 0.5, 0.5]
+
+
 def test_running_totals_by_key(spark, size):
     rows = [(k, float(v), v) for k in range(3) for v in range(1, 40 * (k + 1))]
     df = spark.createDataFrame(rows, "k int, t double, w long").persist()
@@ -60,7 +93,7 @@ def test_quantiles_and_ranks(spark, size):
     got = {r["k"]: (r["a"], r["b"]) for r in prefix.grouped_quantiles(df, ["k"], "x", {"a": .5, "b": .9}).collect()}
     for g in range(3):
         assert np.allclose(got[g], np.quantile(x[k == g], [.5, .9]))
-    ranks = {r["x"]: r["r"] for r in prefix.average_rank(df, "x", "r").collect()}
+    ranks = {r["x"]: r["r"] for r in prefix.average_ranks(df, "x", "r").collect()}
     for v, r in ranks.items():
         assert r == (x < v).sum() + ((x == v).sum() + 1) / 2
 

@@ -34,7 +34,7 @@ def test_partials_reduced_by_spark(study, monkeypatch):
         monkeypatch.setattr(engine, "MERGE_STARTS", 0)
         monkeypatch.setattr(panel, "MIN_ROWS_PER_TASK", 40)
         monkeypatch.setattr(prefix, "SMALL_TABLE", 0)
-        b = fit_mixture(df, FEATS, **SHORT)
+        b = fit_mixture(df, FEATS, task_cells=0, **SHORT)
     assert np.allclose(a.beta, b.beta, atol=1e-10) and np.allclose(a.loglik, b.loglik)
 
 
@@ -80,7 +80,7 @@ def test_fits_in_batches_equal_fits_at_once(study, monkeypatch):
 
         monkeypatch.setattr(engine.Engine, "__init__", tight)
         monkeypatch.setattr(engine.Engine, "batches", counted)
-        parts = cross_validate(df, FEATS, **options)
+        parts = cross_validate(df, FEATS, task_cells=0, **options)
     assert max(seen) > 1
     assert np.allclose(whole.matrix, parts.matrix, atol=1e-6)
     assert len(np.unique(np.round(parts.matrix, 9))) == 10
