@@ -127,7 +127,7 @@ class _Builder:
                 parent_id = levels[i - 1][1] if i else (above if depth else None)
                 length = int(node.lens[depth - 1]) if depth else 0
                 if here in self.open:
-                    self.rows.add(SEAM, here, parent_id, turn, depth, length, node.low, None, node.n, kids, leaves, saved, None, True)
+                    self.rows.add(SEAM, here, parent_id, turn, depth, length, node.low, None, node.n, kids, leaves, saved, value, True)
                     kids = leaves = saved = 0
                 else:
                     leaves = leaves or 1
@@ -273,8 +273,8 @@ def prefix_trie(conversations: DataFrame, batch: int = BATCH) -> DataFrame:
              .mapInArrow(_digests, "id binary, ends string"))
     same = ["id", "parent_id", "turn_id", "depth", "length"]
     seam = (made.filter(F.col("kind") == SEAM).groupBy(*same)
-            .agg(F.min("conv_id").alias("conv_id"), *[F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")])
-            .join(lists, "id", "left").repartition(1).sortWithinPartitions(F.desc("depth")))
+            .agg(F.min("conv_id").alias("conv_id"), F.max("ends").alias("ends"), *[F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")])
+            .join(lists.withColumnRenamed("ends", "joined"), "id", "left").withColumn("ends", F.coalesce("joined", "ends")).drop("joined").repartition(1).sortWithinPartitions(F.desc("depth")))
     seam = cut(seam.mapInArrow(_resolve, _DDL))
     closed = made.filter(F.col("kind") == CLOSED)
     alone = (F.col("parent_conv_id").isNull()) & F.col("parent_id").isNotNull()
