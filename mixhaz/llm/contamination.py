@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import attach, attach_few, cut, documents, keyed, read, small
+from .tables import attach, attach_few, carried, cut, documents, keyed, read, small
 from .text import ALNUM, Chunk, Rolling, as_long, map_texts, sliding_minimum_places
 
 WINDOW, GRAM = 10, 5
@@ -149,7 +149,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW
     """The rows of `docs`, all columns, that hold no window of any item."""
     hit = contamination(docs, items, window, gram).filter("n_hit > 0").select("doc_id", "key").distinct()
     rows = attach(keyed(docs, carry=True), small(cut(hit)), "left_anti")
-    return rows.select("row.*")
+    return rows.select(carried(docs.columns))
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

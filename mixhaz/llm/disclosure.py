@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .tables import attach_few, cut, documents, keyed, small
+from .tables import attach_few, carried, cut, documents, keyed, small
 from .text import ALNUM, Chunk, Words, as_long, chunks, map_texts, rolling_bytes
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -203,12 +204,13 @@ def _terms_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return (hits.groupBy("doc_id", "key").agg(F.collect_set(F.struct("term", F.coalesce("known", F.lit(False)).alias("gone"))).alias("terms")))
 
 
-_SPANS = ("array<struct<start:long, kind:byte, stop:long, by:string>>")
+_SPANS = [T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.ByteType()),
+                                                            T.StructField("stop", T.LongType()), T.StructField("by", T.StringType())])))]
 
 
 def private_spans(docs: DataFrame, near: int = NEAR, alpha: float = ALPHA, support: int = SUPPORT, carry: bool = False) -> DataFrame:
     """One row per document row: doc_id, key, spans, an array of (start, kind, stop, by) by start and kind: code points, stop exclusive; kind is a
-    place in KINDS; `by` is what replaces the span in a sanitised text. carry: all columns as a struct `row`, too.
+    place in KINDS; `by` is what replaces the span in a sanitised text. carry: the text and a struct `row` of the other columns, too (see `keyed`).
 
     Null and empty texts have no spans. Repeated rows count, and are marked, each; so do rows of one doc_id with different texts. A word that a
     base span touches is no term. Words and entities are compared by 64-bit hashes. If every document has an entity, nothing gives it away.
@@ -256,11 +258,11 @@ def private_spans(docs: DataFrame, near: int = NEAR, alpha: float = ALPHA, suppo
                 spans = pa.StructArray.from_arrays([pa.array(signs[start] - offset), pa.array(kind.astype(np.int8)), pa.array(signs[stop] - offset),
                                                     pa.array(by.tolist(), pa.string())], names=["start", "kind", "stop", "by"])
                 ends = np.searchsorted(text, np.arange(chunk.n + 1)).astype(np.int32)
-                names = ["doc_id", "key", *(["row"] if carry else [])]
+                names = ["doc_id", "key", *(["text", "row"] if carry else [])]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.ListArray.from_arrays(pa.array(ends), spans)], names=[*names, "spans"])
 
-    row = f", row {base.schema['row'].dataType.simpleString()}" if carry else ""
-    return rows.mapInArrow(make, f"doc_id long, key long{row}, spans {_SPANS}")
+    fields = [base.schema[c] for c in ("doc_id", "key", *(("text", "row") if carry else ()))]
+    return rows.mapInArrow(make, T.StructType([*fields, *_SPANS]))
 
 
 def sanitised(docs: DataFrame, near: int = NEAR, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
@@ -284,8 +286,7 @@ def sanitised(docs: DataFrame, near: int = NEAR, alpha: float = ALPHA, support:
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans)])
 
-    columns = [without(F.col("row.text"), F.col("spans")).alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return found.select(*columns)
+    return found.select(carried(docs.columns, {"text": without("text", "spans")}))
 
 
 def _listed(spans, only_base: bool):

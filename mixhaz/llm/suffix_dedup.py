@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .suffix_array import suffix_ranks
-from .tables import attach_few, cut, documents, keyed, small
+from .tables import attach_few, carried, cut, documents, keyed, small
 from .text import Chunk, as_long, chunks, flat_lists, map_texts, rolling_bytes, sliding_argmin, spread, take
 
 LENGTH, GRAM = 200, 100
@@ -175,13 +175,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         head = np.flatnonzero((chunk.data & 0xC0) != 0x80)
         gone = np.repeat(np.minimum.reduceat(gone, head), np.diff(np.append(head, len(gone))))
         kept = [(chunk.data[a:b][~gone[a:b]]).tobytes().decode("utf-8", "replace") for a, b in zip(chunk.begin, chunk.end)]
-        return {"row": batch.column("row"), "left": pa.array(kept, pa.string())}
+        return {"row": batch.column("row"), "text": pa.array(kept, pa.string(), mask=batch.column("text").is_null().to_numpy(zero_copy_only=False))}
 
-    schema = T.StructType([rows.schema["row"], T.StructField("left", T.StringType())])
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())])
     done = map_texts(_spans(rows, length, gram), clean, schema)
-    text = F.when(F.col("row.text").isNotNull(), F.col("left"))
-    change = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return done.select([change.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    change = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return done.select(carried(docs.columns, change))
 
 
 def op10_suffix_array(spark, sf_dir: str) -> DataFrame:

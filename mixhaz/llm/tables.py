@@ -22,10 +22,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """doc_id, text and a key of both. Other columns are left out, so that no name can clash; `carry` keeps the whole row as a struct `row`.
+    """doc_id, text and a key of both. Other columns are left out, so that no name can clash; `carry` keeps them as a struct `row` (see `carried`).
     Rows that agree in both have one key and get one result each; rows of one doc_id with different texts are different documents."""
     key = F.xxhash64("doc_id", "text", F.col("text").isNull()).alias("key")
-    return docs.select("doc_id", "text", key, *([F.struct("*").alias("row")] if carry else []))
+    return docs.select("doc_id", "text", key, *([F.struct(*[c for c in docs.columns if c != "text"]).alias("row")] if carry else []))
+
+
+def carried(columns: list[str], changed: dict | None = None) -> list:
+    """The columns of rows that `keyed` carries, in their order and under their names; `changed` holds new values by name."""
+    changed = changed or {}
+    return [changed.get(c, F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in columns]
 
 
 def cut(df: DataFrame, paths: list[str] | None = None) -> DataFrame:

@@ -38,19 +38,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64, from the zeroth."""
-    key = ("powers", seed)
-    if key not in _STATE or len(_STATE[key][0]) < n:
-        size = max(n, CHUNK_BYTES + (1 << 16))
-        base = _ODD[seed]
-        both = []
-        for value in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(size, value, dtype=np.uint64)
-            steps[0] = 1
-            both.append(np.cumprod(steps))
+    """Powers of an odd number and of its inverse modulo 2**64, from the zeroth. Those for one usual chunk stay in memory; a longer text makes its own."""
+    key, usual = ("powers", seed), CHUNK_BYTES + (1 << 16)
+    if n <= usual and key in _STATE:
+        return _STATE[key]
+    both = []
+    for value in (_ODD[seed], pow(_ODD[seed], -1, 1 << 64)):
+        steps = np.full(max(n, usual), value, dtype=np.uint64)
+        steps[0] = 1
+        both.append(np.cumprod(steps, out=steps))
+    if n <= usual:
         _STATE[key] = tuple(both)
-    up, down = _STATE[key]
-    return up, down
+    return both[0], both[1]
 
 
 def _byte_values(seed: int) -> np.ndarray:
@@ -114,12 +113,28 @@ class Chunk:
     """Some texts of a batch, joined by blanks: `data` holds the bytes, text i is data[begin[i]:end[i]]."""
 
     def __init__(self, texts: list[bytes], rows: slice):
-        self.texts, self.rows, self.n = texts, rows, len(texts)
-        self.data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
         size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        self._lay(np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8), size, rows)
+
+    def _lay(self, data: np.ndarray, size: np.ndarray, rows: slice) -> None:
+        self.data, self.rows, self.n = data, rows, len(size)
         self.end = np.cumsum(size + 1) - 1
         self.begin = self.end - size
 
+    @classmethod
+    def of(cls, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, rows: slice) -> Chunk:
+        """The texts at flat[begin:begin + size], copied once out of a column's buffer."""
+        self = cls.__new__(cls)
+        self._lay(np.full(int(size.sum()) + len(size), 32, dtype=np.uint8), size, rows)
+        for to, at, n in zip(self.begin.tolist(), begin.tolist(), size.tolist()):
+            self.data[to:to + n] = flat[at:at + n]
+        return self
+
+    @property
+    def texts(self) -> list[bytes]:
+        whole = self.data.tobytes()
+        return [whole[a:b] for a, b in zip(self.begin.tolist(), self.end.tolist())]
+
     def words(self, kind: np.ndarray, lower: bool = True) -> Words:
         return Words(self, kind, lower)
 
@@ -145,16 +160,22 @@ class Words:
 
 
 def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """The texts of a column, null as empty, in chunks of about `size` bytes."""
-    texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
-    lo = total = 0
-    for i, t in enumerate(texts):
-        if i > lo and total + len(t) > size:
-            yield Chunk(texts[lo:i], slice(lo, i))
-            lo, total = i, 0
-        total += len(t) + 1
-    if lo < len(texts):
-        yield Chunk(texts[lo:], slice(lo, len(texts)))
+    """The texts of a column, null as empty, in chunks of about `size` bytes. One chunk at a time is copied out of the column's buffer."""
+    if not len(column):
+        return
+    column = column.cast(pa.binary())
+    _, offsets, buffer = column.buffers()
+    edges = np.frombuffer(offsets, dtype=np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    flat = np.frombuffer(buffer, dtype=np.uint8) if buffer is not None else np.empty(0, np.uint8)
+    length = np.diff(edges)
+    if column.null_count:
+        length[column.is_null().to_numpy(zero_copy_only=False)] = 0
+    upto = np.cumsum(length + 1)
+    lo = 0
+    while lo < len(length):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + size, side="right")))
+        yield Chunk.of(flat, edges[lo:hi], length[lo:hi], slice(lo, hi))
+        lo = hi
 
 
 def as_long(x: np.ndarray) -> pa.Array:
