@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import documents
+from .text import short_batches
 
 #: words that a task remembers; new words that one query takes
 CACHE_WORDS, QUERY_WORDS = 500_000, 40_000
@@ -127,7 +128,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                                                      names=["doc_id", *out])
                     out, size, lo = {c: [] for c in out}, 0, i + 1
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded binary")
+    return short_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded binary")
 
 
 def public_vocabulary() -> tuple[str, str]:

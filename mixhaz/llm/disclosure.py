@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tables import attach_few, carried, cut, documents, keyed, small
-from .text import ALNUM, Chunk, Words, as_long, chunks, map_texts, rolling_bytes
+from .text import ALNUM, Chunk, Words, as_long, chunks, map_texts, rolling_bytes, short_batches
 
 KINDS = ("email", "ip", "card", "phone", "term")
 TERM = 4
@@ -262,7 +262,7 @@ def private_spans(docs: DataFrame, near: int = NEAR, alpha: float = ALPHA, suppo
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.ListArray.from_arrays(pa.array(ends), spans)], names=[*names, "spans"])
 
     fields = [base.schema[c] for c in ("doc_id", "key", *(("text", "row") if carry else ()))]
-    return rows.mapInArrow(make, T.StructType([*fields, *_SPANS]))
+    return short_batches(rows).mapInArrow(make, T.StructType([*fields, *_SPANS]))
 
 
 def sanitised(docs: DataFrame, near: int = NEAR, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:

@@ -5,8 +5,9 @@ every further coordinate of the signature. Documents with equal shingle sets are
 candidates, and a link holds only after the exact Jaccard similarity of the full sets.
 
 Only connectivity is asked for, so a bucket of many classes is not expanded into pairs: its members are first compared
-with a leader, then, in a second round, with the best of those that are still apart. Members of different components after that
-meet through the beginnings of their shingle sets, an exact filter: no candidate between different components is left out.
+with a leader, then with the best of those that are still apart, then with members drawn by hash, as long as rounds find links.
+Members of different components after that meet through the beginnings of their shingle sets, an exact filter: no candidate
+between different components is left out.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut, documents, small
+from .tables import attach, carried, cut, documents, keyed, small
 from .text import DARK, Chunk, Rolling, as_long, lists, map_texts, mix
 
-ROWS, BANDS, LEADER_ROUNDS = 4, 20, 2
+ROWS, BANDS, LEADER_ROUNDS = 4, 20, 5
 
 
 def shingles(chunk: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +56,7 @@ def signatures(h: np.ndarray, starts: np.ndarray, coordinates: int) -> np.ndarra
 
 
 def sketches(docs: DataFrame, size: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, the 128-bit name (s1, s2) of the shingle set, and its band keys (none for an empty set)."""
+    """doc_id, key, n_shingles, the 128-bit name (s1, s2) of the shingle set, and its band keys (none for an empty set)."""
 
     def make(chunk: Chunk, batch: pa.RecordBatch) -> dict:
         h, n = shingles(chunk, size)
@@ -73,10 +74,10 @@ def sketches(docs: DataFrame, size: int, rows: int = ROWS, bands: int = BANDS) -
                 for r in range(rows):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + signed[b * rows + r])
                 keys[:, b] = key
-        return {"doc_id": batch.column("doc_id"), "n_shingles": n, "s1": as_long(names[0]), "s2": as_long(names[1]),
+        return {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "n_shingles": n, "s1": as_long(names[0]), "s2": as_long(names[1]),
                 "bands": lists(as_long(keys.ravel()), np.where(full, bands, 0))}
 
-    return map_texts(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
+    return map_texts(keyed(docs), make, "doc_id long, key long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
@@ -107,6 +108,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose sets have 100 * intersection >= percent * union."""
+    pairs = cut(pairs)
+    asked = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    full = full.join(small(asked), "doc_id", "left_semi")
     one = full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     two = full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y")).cast("long")
@@ -114,6 +118,12 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             .filter(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b"))
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """Members of buckets that still hold different components."""
+    apart = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
+    return cut(members.join(apart, "bucket", "left_semi"))
+
+
 def _prefix_pairs(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that may still be linked. members: bucket, rep, n, component, degree.
 
@@ -139,8 +149,8 @@ def _prefix_pairs(members: DataFrame, full: DataFrame, percent: int) -> DataFram
     return one.join(two, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """One row per document row: doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept.
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, keys: bool = False) -> DataFrame:
+    """One row per document row: doc_id, key (if `keys`: of the row's id and text), n_shingles, component_id (the smallest doc_id that links reach), kept.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of distinct `size`-word shingles (lower case;
     blanks divide words). Null and empty texts have no shingle, link with nothing and are kept. A null doc_id is linked with nothing either:
@@ -162,20 +172,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     best = F.struct("degree", F.xxhash64("rep").alias("_"), "rep", "n", "component")
     links = None
     for turn in range(LEADER_ROUNDS):
-        # in the second round the leader is the best member outside the component of the first
-        lead = now.groupBy("bucket").agg(F.max(best).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"))
+        # the first leader is the best member, the second the best outside the first one's component; from then on the leader changes from round to round
+        rank = best if turn < 2 else F.struct(F.xxhash64("rep", "bucket", F.lit(turn)).alias("_"), "rep", "n", "component")
+        lead = now.groupBy("bucket").agg(F.max(rank).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"))
         lead = lead.filter("low <> high").select("bucket", "lead")
-        if turn:
+        if turn == 1:
             lead = (now.join(lead, "bucket").filter("component <> lead.component").groupBy("bucket").agg(F.max(best).alias("lead")))
         first = lead.select("bucket", "lead.component", F.col("lead.rep").alias("a"), F.col("lead.n").alias("n"))
         members = now.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
         pairs = (first.join(members, "bucket").filter((F.col("component") != F.col("other")) & near)
                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         found = cut(_verified(pairs, full, percent))
+        if turn > 1 and found.isEmpty():
+            break
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         now = cut(now.drop("component").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
                   .withColumn("component", F.coalesce("component", "rep")))
+        # buckets of one component are closed
+        now = _open(now)
     found = cut(_verified(_prefix_pairs(now, full, percent), full, percent))
     if not found.isEmpty():
         labels = components(links.unionByName(found))
@@ -184,14 +199,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
         F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.coalesce("component", "rep").alias("found"))
     return (base.join(named, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n_shingles") > 0)
                       & F.col("doc_id").isNotNull(), "left")
-            .select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
+            .select("doc_id", *(["key"] if keys else []), "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs`, all columns, of which one document of each group stays, that of the smallest doc_id."""
-    gone = cut(near_duplicates(docs, size, percent).filter("not kept").select("doc_id").distinct())
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    """The rows of `docs`, all columns, of which one of each group stays: the one of the smallest doc_id.
+
+    Rows are judged by their own texts: where a doc_id has several texts, each goes or stays with its own group, and of several texts of the
+    group's smallest doc_id one stays. Of rows with equal doc_id and text any one stays. Null and empty texts and rows of a null doc_id all stay.
+    """
+    found = cut(near_duplicates(docs, size, percent, keys=True).filter("n_shingles > 0 and doc_id is not null"))
+    stay = found.filter("kept").groupBy("component_id").agg(F.min("key").alias("first"), F.count("*").alias("n"))
+    several = cut(stay.filter("n > 1").select("component_id", "first"))  # groups whose smallest doc_id has several rows
+    if several.isEmpty():
+        gone = found.filter("not kept").select("doc_id", "key")
+        again = None
+    else:
+        spare = found.filter("kept").join(small(several), "component_id").filter("key <> first")
+        gone = found.filter("not kept").select("doc_id", "key").unionByName(spare.select("doc_id", "key"))
+        again = small(several.select(F.col("component_id").alias("doc_id"), F.col("first").alias("key")))
+    rows = attach(keyed(docs, carry=True), small(cut(gone.distinct())), "left_anti")
+    if again is not None:
+        rows = attach(rows, again, "left_anti").unionByName(attach(rows, again, "left_semi").dropDuplicates(["doc_id", "key"]))
+    return rows.select(carried(docs.columns))
 
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:

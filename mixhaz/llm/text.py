@@ -209,6 +209,18 @@ def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n), owner
 
 
+#: rows of an Arrow batch: whole texts come in batches, so short ones bound a task's memory
+BATCH_ROWS = 1000
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """`df`, after lowering the session's rows per Arrow batch, unless somebody has set it."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def map_texts(df: DataFrame, make: Callable[[Chunk, pa.RecordBatch], dict], schema: str, column: str = "text") -> DataFrame:
     """Rows that `make(chunk, rows of the batch that the chunk holds)` returns as columns."""
 
@@ -222,4 +234,4 @@ def map_texts(df: DataFrame, make: Callable[[Chunk, pa.RecordBatch], dict], sche
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()],
                                                  names=list(columns))
 
-    return df.mapInArrow(run, schema)
+    return short_batches(df).mapInArrow(run, schema)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .linear import held_out, sample, sigmoid, train
 from .tables import cut, documents, read
-from .text import ALNUM, Chunk, as_long, chunks, map_texts, rolling_bytes
+from .text import ALNUM, Chunk, as_long, chunks, map_texts, rolling_bytes, short_batches
 
 #: labelled rows that the classifier is fitted on at most; features that it has at most; texts that must hold a feature at least
 SAMPLE, FEATURES, SUPPORT = 16_000, 3_000, 4
@@ -269,7 +269,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
                 score = np.concatenate([scorer(c) for c in chunks(batch.column("text"))])
                 yield batch.filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return short_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -137,10 +137,24 @@ class TestNearDuplicates:
         from mixhaz.llm.near_duplicates import near_duplicates, without_near_duplicates
 
         assert near_duplicates(table(spark, [])).count() == 0
-        kept = without_near_duplicates(table(spark, DOCS))
+        assert without_near_duplicates(table(spark, [])).count() == 0
+        other = prose(41, 90)
+        # an id with a clean text and a copy; a group whose smallest id has two texts; equal rows
+        docs = DOCS + [(30, prose(40, 90)), (30, changed(BASE, [5])), (31, other), (31, changed(other, [50])), (32, other), (31, other)]
+        kept = without_near_duplicates(table(spark, docs))
         assert kept.columns == table(spark, []).columns
-        want = [(d,) for d, _, _, k in brute.near_duplicates(DOCS, 5, 80) if k or d is None]
-        assert collected(kept, "doc_id") == expected(want)
+        judged = zip(docs, brute.near_duplicates([(i, t) for i, (_, t) in enumerate(docs)], 5, 80))
+        groups = {}
+        for (d, t), (i, n, c, _) in judged:
+            groups.setdefault(c if n and d is not None else (i,), []).append((d, t))
+        got = collected(kept, "doc_id", "text")
+        want = []
+        for group in groups.values():
+            least = min(group, key=lambda x: (x[0] is not None, x[0] or 0))
+            rows = [x for x in got if x in group and x[0] == least[0]]
+            assert rows and (len(group) == 1 or len(set(rows)) == 1)
+            want.append(rows[0])
+        assert got == expected(want)
 
     def test_components(self, spark):
         from mixhaz.llm.near_duplicates import components
