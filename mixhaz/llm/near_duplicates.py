@@ -81,13 +81,13 @@ def sketches(docs: DataFrame, size: int, rows: int = ROWS, bands: int = BANDS) -
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and its distinct shingle hashes."""
+    """(rep, shingles): the distinct shingle hashes of texts named by `rep`, (doc_id, key)."""
 
     def make(chunk: Chunk, batch: pa.RecordBatch) -> dict:
         h, n = shingles(chunk, size)
-        return {"doc_id": batch.column("doc_id"), "shingles": lists(as_long(h), n)}
+        return {"rep": batch.column("rep"), "shingles": lists(as_long(h), n)}
 
-    return map_texts(docs.select("doc_id", "text"), make, "doc_id long, shingles array<long>")
+    return map_texts(docs.select("rep", "text"), make, "rep struct<doc_id: long, key: long>, shingles array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -109,10 +109,10 @@ def components(links: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose sets have 100 * intersection >= percent * union."""
     pairs = cut(pairs)
-    asked = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    full = full.join(small(asked), "doc_id", "left_semi")
-    one = full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    two = full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    asked = cut(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct())
+    full = full.join(small(asked), "rep", "left_semi")
+    one = full.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
+    two = full.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y")).cast("long")
     return (pairs.join(one, "a").join(two, "b").select("a", "b", shared.alias("i"), (F.size("x") + F.size("y")).cast("long").alias("n"))
             .filter(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b"))
@@ -135,12 +135,12 @@ def _prefix_pairs(members: DataFrame, full: DataFrame, percent: int) -> DataFram
                                          F.max("component").alias("high")).filter("low <> high").select("bucket", "lead")
     apart = F.max(F.col("component") != F.col("lead.component")).alias("apart")
     nodes = cut(members.join(lead, "bucket").groupBy("rep").agg(F.first("n").alias("n"), F.first("component").alias("component"), apart))
-    words = full.join(nodes.select(F.col("rep").alias("doc_id")), "doc_id").select("doc_id", F.explode("shingles").alias("h"))
+    words = full.join(nodes.select("rep"), "rep").select("rep", F.explode("shingles").alias("h"))
     seen = words.groupBy("h").agg(F.count("*").alias("times"))
     begin = F.floor(F.size("order") * (100 - percent) / 100).cast("int") + 1
-    order = (words.join(seen, "h").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("times", "h"))).alias("order"))
-             .select("doc_id", F.posexplode(F.slice("order", F.lit(1), begin)).alias("i", "s")).select("doc_id", "i", "s.h"))
-    order = cut(order.join(nodes, F.col("doc_id") == F.col("rep")).select("h", "rep", "i", "n", "component", "apart"))
+    order = (words.join(seen, "h").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("times", "h"))).alias("order"))
+             .select("rep", F.posexplode(F.slice("order", F.lit(1), begin)).alias("i", "s")).select("rep", "i", "s.h"))
+    order = cut(order.join(nodes, "rep").select("h", "rep", "i", "n", "component", "apart"))
     one = order.filter("apart").select("h", F.col("rep").alias("a"), "i", "n", "component")
     two = order.select("h", F.col("rep").alias("b"), F.col("i").alias("j"), F.col("n").alias("m"), F.col("component").alias("other"))
     rest = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
@@ -159,11 +159,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     """
     base = cut(sketches(docs, size, rows, bands))
     classes = cut(base.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2")
-                  .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+                  .agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     banded = classes.select(F.explode("bands").alias("bucket"), "rep", "n")
     shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
     buckets = cut(banded.join(shared, "bucket").distinct())
-    texts = docs.join(small(cut(buckets.select(F.col("rep").alias("doc_id")).distinct())), "doc_id", "left_semi")
+    texts = keyed(docs).withColumn("rep", F.struct("doc_id", "key")).join(small(cut(buckets.select("rep").distinct())), "rep", "left_semi")
+    # of rows that agree in id and text one is enough; only those few are looked for by a shuffle
+    twice = cut(base.groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1").select(F.struct("doc_id", "key").alias("rep")))
+    if not twice.isEmpty():
+        texts = texts.join(small(twice), "rep", "left_anti").unionByName(texts.join(small(twice), "rep", "left_semi").dropDuplicates(["rep"]))
     full = cut(sets(texts, size))
 
     near = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
@@ -196,7 +200,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
         labels = components(links.unionByName(found))
 
     named = classes.select("s1", "s2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.coalesce("component", "rep").alias("found"))
+        F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.coalesce("component", "rep")["doc_id"].alias("found"))
     return (base.join(named, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n_shingles") > 0)
                       & F.col("doc_id").isNotNull(), "left")
             .select("doc_id", *(["key"] if keys else []), "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
