@@ -816,71 +816,116 @@ def q_hash(spark, sf):
     return summaries.dataset_hash(o, ["o_orderkey", "o_custkey", "o_orderstatus"], ["cell"])
 
 
-# ---------------------------------------------------------------- fits (no SQL form: iterative)
+# ---------------------------------------------------------------- fits: SQL checks what must hold at the returned parameters
 
 FIT_CLUSTER = ["f_price", "f_lines", "f_disc"]
 FIT_HAZARD = ["f_price", "f_bal", "f_qty", INDICATOR]
+_TWO = ("C1", "C2")
 
 
-def _cluster_rows(spark, model) -> DataFrame:
-    rows = [(c, round(float(model.pi[k]), 6), round(float(model.weight_sum[k]), 4), round(float(model.eff_events[k]), 4),
-             v, round(float(model.beta[j, k]), 12), bool(model.converged)) for k, c in enumerate(model.clusters) for j, v in enumerate(model.hazard_vars)]
-    return spark.createDataFrame(rows, "cluster string, pi double, weight_sum double, eff_events double, feature string, beta double, converged boolean")
+def _certified(model, clusters: bool = True) -> DataFrame:
+    from mixhaz.plans.certificate import certificate
 
+    c = certificate(model)
+    rows = (c if clusters else c.where("cluster IS NULL")).select("term", "cluster", "feature", F.round("target", 4).alias("target"), "holds")
+    if not clusters:
+        rows = rows.unionByName(c.where("cluster IS NOT NULL").agg(F.bool_and("holds").alias("holds")).select(
+            F.lit("all_clusters").alias("term"), F.lit(None).cast("string").alias("cluster"), F.lit(None).cast("string").alias("feature"),
+            F.lit(None).cast("double").alias("target"), "holds"))
+    return rows
 
-@query("fit_mixture_cox")
+
+def _certificate_sql(hazard, clusters=_TWO, own: bool = False, gate: bool = False) -> str:
+    """The rows of a certificate: targets from the data, and every condition met."""
+    def row(term, cluster="NULL", feature="NULL", target="NULL"):
+        return f"SELECT '{term}' AS term, {cluster}::VARCHAR AS cluster, {feature}::VARCHAR AS feature, round({target}::DOUBLE, 4) AS target, true AS holds FROM t"
+
+    rows = [row("rows", target="n"), row("events", target="e"), row("expected_events", target="e"), row("converged")]
+    for c in (f"'{c}'" for c in clusters):
+        rows += [row("expected_events_of_cluster", c)] * own
+        rows += [row("gate_balance", c)] if gate else [row("weight", c), *[row("cluster_mean", c, f"'{f}'") for f in FIT_CLUSTER]]
+        rows += [row("score", c, f"'{f}'") for f in hazard]
+    if not clusters:
+        rows.append(row("all_clusters"))
+    for f in FIT_CLUSTER:
+        rows += [row("scaler_mean", feature=f"'{f}'", target=f"m_{f}")] if gate else [
+            row("mixture_mean", feature=f"'{f}'", target=f"m_{f}"), row("mixture_sd", feature=f"'{f}'", target=f"s_{f}")]
+    moments = ", ".join(f"avg({f}) AS m_{f}, stddev_samp({f}) AS s_{f}" for f in FIT_CLUSTER)
+    return f"WITH {SPELL}, t AS (SELECT count(*) AS n, sum(status) AS e, {moments} FROM spell) " + " UNION ALL ".join(rows)
+
+
+@query("fit_mixture_cox", _certificate_sql(FIT_HAZARD))
 def q_fit(spark, sf):
     from mixhaz.plans.fitting import fit_mixture
 
-    return _cluster_rows(spark, fit_mixture(spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id", k=2))
+    return _certified(fit_mixture(spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id", k=2))
 
 
-@query("fit_cluster_baselines")
+@query("fit_cluster_baselines", _certificate_sql(FIT_HAZARD, own=True))
 def q_fit_cluster(spark, sf):
     from mixhaz.plans.fitting import fit_mixture
 
-    return _cluster_rows(spark, fit_mixture(spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id", k=2, baseline="cluster", covariance="full"))
+    return _certified(fit_mixture(spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id", k=2, baseline="cluster", covariance="full"))
+
+
+@query("fit_elastic_net", _certificate_sql(FIT_HAZARD))
+def q_fit_elastic(spark, sf):
+    """Scores inside the penalty's subgradient: equal to it at coefficients that are not zero, within it at those that are."""
+    from mixhaz.plans.fitting import fit_mixture
+
+    return _certified(fit_mixture(spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id", k=2, alpha=0.7, lam=0.1))
 
 
-@query("multistart")
+@query("multistart", "SELECT s::INTEGER AS start, s::INTEGER AS seed, true AS converged, true AS at_most_kept, true AS kept_is_first_best FROM range(1, 5) r(s)")
 def q_multistart(spark, sf):
     from mixhaz.plans.fitting import fit_mixture
 
     m = fit_mixture(spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id", k=2, n_starts=4, init="random")
-    return spark.createDataFrame([(s["start"], s["seed"], round(s["final_score"], 4), s["converged"], s["start"] == m.best_start)
-                                  for s in m.starts], "start int, seed int, final_score double, converged boolean, kept boolean")
+    kept = m.starts[m.best_start - 1]["final_score"]
+    first = next(s["start"] for s in m.starts if s["final_score"] == kept) == m.best_start
+    return spark.createDataFrame([(s["start"], s["seed"], bool(s["converged"]), bool(s["final_score"] <= kept), first) for s in m.starts],
+                                 "start int, seed int, converged boolean, at_most_kept boolean, kept_is_first_best boolean")
 
 
-@query("fitted_scores")
+@query("fitted_scores", f"WITH {SPELL} SELECT id, 1.0::DOUBLE AS memberships, true AS lp_between, true AS survival_falls, true AS converged FROM spell")
 def q_fitted_scores(spark, sf):
-    """Fit, then score every row: membership, linear predictor, survival at three times."""
+    """Fit, then score every row: memberships add up, the predictor lies between the clusters' own, survival falls from one time to the next."""
     from mixhaz.plans.fitting import fit_mixture
 
     s = spell(spark, sf)
     m = fit_mixture(s, FIT_CLUSTER, FIT_HAZARD, ident="id", k=2)
     out = m.predict(m.predict(m.predict(s, "tau"), "lp"), "survival", PREDICT_TIMES)
-    return out.select("id", r("tau_1"), r("tau_2"), r("lp"), *[F.round(F.col(f"`t={t:.4g}`"), 6).alias(f"s_{i}")
-                                                            for i, t in enumerate(PREDICT_TIMES)],
+    eta = m._eta([F.col(c) for c in FIT_HAZARD])
+    surv = [F.col(f"`t={t:.4g}`") for t in PREDICT_TIMES]
+    falls = (surv[0] <= 1) & (surv[2] >= 0) & (surv[0] >= surv[1]) & (surv[1] >= surv[2])
+    return out.select("id", F.round(F.col("tau_1") + F.col("tau_2"), 9).alias("memberships"),
+                      F.col("lp").between(F.least(*eta) - 1e-9, F.greatest(*eta) + 1e-9).alias("lp_between"), falls.alias("survival_falls"),
                       F.lit(bool(m.converged)).alias("converged"))
 
 
-@query("cv_by_fold")
+@query("cv_by_fold", f"""WITH {SPELL}, fl AS (SELECT status, ((row_number() OVER (PARTITION BY status ORDER BY {u_sql('fold1')}, id) - 1) % 5 + 1)::INTEGER AS fold FROM spell)
+SELECT fold, k::INTEGER AS k, count(*) AS held, sum(status)::BIGINT AS held_events, true AS finite, true AS adds_up, true AS converged FROM fl, range(1, 3) r(k) GROUP BY 1, 2""")
 def q_cv(spark, sf):
     from mixhaz.plans.fitting import cross_validate
 
-    cv = cross_validate(spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id", ks=(1, 2), nfolds=5, criterion="joint")
-    return cv.frame(spark).select("fold", "k", r("partial", 4), r("gmm", 4), r("value", 4), "converged")
+    s = spell(spark, sf)
+    cv = cross_validate(s, FIT_CLUSTER, FIT_HAZARD, ident="id", ks=(1, 2), nfolds=5, criterion="joint")
+    sizes = resample.stratified_folds(s.select("id", "status"), 5, f"fold{cv.seed}").groupBy("fold").agg(
+        F.count("*").alias("held"), F.sum("status").cast("long").alias("held_events"))
+    finite = ~F.isnan("value") & (F.abs("value") < float("inf"))
+    got = cv.frame(spark).select("fold", "k", finite.alias("finite"), (F.abs(F.col("partial") + F.col("gmm") - F.col("value")) < 1e-6).alias("adds_up"), "converged")
+    return got.join(sizes, "fold")
 
 
-@query("run_cv_final_model")
+@query("run_cv_final_model", _certificate_sql(FIT_HAZARD, clusters=()))
 def q_run_cv(spark, sf):
+    """The number of clusters is chosen by the folds; the certificate of the final model holds for whichever it is."""
     from mixhaz.plans.fitting import final_model, run_cv
     from mixhaz.sources.readers import assign_roles
 
     prepared = assign_roles(spell(spark, sf).drop("id"), "time", "status", INDICATOR)
     cv = run_cv(prepared, vargmm=FIT_CLUSTER, varcox=["f_price", "f_bal", "f_qty"])
-    m = final_model(cv, prepared, FIT_CLUSTER, ["f_price", "f_bal", "f_qty"])
-    return _cluster_rows(spark, m).withColumn("cindex", F.lit(round(m.metrics["cindex"], 6)))
+    return _certified(final_model(cv, prepared, FIT_CLUSTER, ["f_price", "f_bal", "f_qty"]), clusters=False)
 
 
 @query("heterogeneity_test")
@@ -908,40 +953,11 @@ def q_sequential(spark, sf):
                                  "test string, p_value double, k int, n_not_converged int")
 
 
-@query("competitor_fit")
+@query("competitor_fit", _certificate_sql(FIT_HAZARD, gate=True))
 def q_gated(spark, sf):
     from mixhaz.plans.gated import fit_gated
 
-    m = fit_gated(spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id")
-    gates = spark.createDataFrame([(f"C{k + 1}", round(float(m.gate[0, k]), 6)) for k in range(m.k)], "cluster string, gate double")
-    return _cluster_rows(spark, m).drop("pi").join(gates, "cluster")
-
-
-# ---------------------------------------------------------------- simulation
-
-def _sim_sql(p: int, mu: float, beta: float, followup: float, seed: str) -> str:
-    from mixhaz.operators.simulate import geometry
-
-    b, m = geometry(p, mu, beta, 2)
-    def normal(j):
-        return f"sqrt(-2.0 * ln({u_sql(f'{seed}x{j}a', 'o_orderkey')})) * cos(2 * pi() * {u_sql(f'{seed}x{j}b', 'o_orderkey')})"
-    z = f"floor({u_sql(seed + 'z', 'o_orderkey')} * 2)::INTEGER + 1"
-    cols = ", ".join(f"{normal(j)} + CASE WHEN z = 1 THEN {float(m[0][j])!r} ELSE {float(m[1][j])!r} END AS f{j + 1}" for j in range(p))
-    eta = ["(" + " + ".join(f"({float(b[k][j])!r}) * f{j + 1}" for j in range(p)) + ")" for k in range(2)]
-    wait = f"200.0 * pow(-ln({u_sql(seed + 't', 'o_orderkey')}), 1 / 1.5) * exp(-eta / 1.5)"
-    return f"""WITH a AS (SELECT o_orderkey, {z} AS z FROM orders), b AS (SELECT *, {cols} FROM a),
-c AS (SELECT *, CASE WHEN z = 1 THEN {eta[0]} ELSE {eta[1]} END AS eta FROM b), d AS (SELECT *, {wait} AS t FROM c)
-SELECT o_orderkey AS id, z AS "Z", {", ".join(f"round(f{j + 1}, 6) AS f{j + 1}" for j in range(p))}, round(eta, 6) AS eta,
- round(greatest(least(t, {followup}), 0.1), 4) AS time, (t <= {followup})::INTEGER AS status FROM d"""
-
-
-@query("simulate", _sim_sql(5, 1.0, 2.0, 150.0, "21"))
-def q_simulate(spark, sf):
-    from mixhaz.operators.simulate import simulate_on
-
-    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    s = simulate_on(ids, 5, 1.0, 2.0, censoring="administrative", followup=150.0, seed="21")
-    return s.select("id", "Z", *[r(f"f{j + 1}") for j in range(5)], r("eta"), r("time", 4), "status")
+    return _certified(fit_gated(spell(spark, sf), FIT_CLUSTER, FIT_HAZARD, ident="id"))
 
 
 # ---------------------------------------------------------------- further steps and roll-ups

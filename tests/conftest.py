@@ -23,7 +23,7 @@ def spark():
 @pytest.fixture(scope="session")
 def study(spark):
     """300 simulated subjects with four features, on the driver side as pandas too."""
-    from mixhaz import simulate
+    from mixhaz.operators.simulate import simulate
 
     df = simulate(spark, 300, 4, 1.5, 2.0, seed=11).persist()
     return df, df.toPandas()

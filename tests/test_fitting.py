@@ -223,7 +223,7 @@ def test_subgroup_tests(study):
 
 
 def test_bootstrap_reproduces_the_model(spark):
-    from mixhaz import simulate
+    from mixhaz.operators.simulate import simulate
 
     df = simulate(spark, 1500, 3, 0.0, 0.0, k_true=1, seed=5).persist()
     feats = ["f1", "f2", "f3"]

@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mixhaz import InputError, beta_heatmap, final_model, fit_mixture, fit_model, read_data, run_cv, selftest, simulate, truth
+from mixhaz import InputError, beta_heatmap, final_model, fit_mixture, fit_model, read_data, run_cv
+from mixhaz.operators.simulate import simulate, truth
+from mixhaz.plans.selftest import selftest
 from mixhaz.operators.simulate import geometry
 from mixhaz.plans import experiments
 from mixhaz.streaming.scoring import score_stream, write_scores
