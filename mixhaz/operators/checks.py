@@ -80,3 +80,21 @@ def pilot_verdicts(means: DataFrame, blind: Sequence[str], informed: str, uninfo
     return row.select("*", ((F.col("blind_excess") < 0.05) & (F.col("informed_excess") > 0.05)).alias("p1"),
                       (F.col("variation").isNotNull() & (F.col("variation") < 0.5)).alias("p2"),
                       ((F.col("best_ari") < 0.10) & (F.col("best_excess") > 0.05)).alias("p3"))
+
+
+def judged_claims(facts: DataFrame, rules: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(id, by, cells, met, holds): claims judged on facts.
+
+    facts: measure, value (a row for each cell, and for each group of `by`). rules: id, measure, relation (one of > >= < <=; null: told, not judged)
+    and bound; the rules of one id all have to hold. holds is three-valued: false if one condition fails, else null if one is unknown or there is
+    none, else true.
+    """
+    groups = facts.select(*by).distinct() if by else None
+    every = rules.join(groups, how="cross") if by else rules  # a few rules for a few groups, so that a claim without facts shows
+    v, b = F.col("value"), F.col("bound")
+    told = F.when(F.isnan(v), F.lit(None)).otherwise(
+        F.when(F.col("relation") == ">", v > b).when(F.col("relation") == ">=", v >= b).when(F.col("relation") == "<", v < b).when(F.col("relation") == "<=", v <= b))
+    rows = every.join(facts, [*by, "measure"], "left").withColumn("met", told)
+    good, bad = F.count_if("met"), F.count_if(~F.col("met"))
+    return rows.groupBy("id", *by).agg(F.count("value").alias("cells"), good.alias("met"),
+                                       F.when(bad > 0, False).when(good < F.count("*"), F.lit(None)).otherwise(True).alias("holds"))

@@ -6,6 +6,7 @@ All queries start from `spell` (one row per order, see `sources.spells`) or from
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -1115,3 +1116,103 @@ def q_pilot(spark, sf):
     means = trial(spark, sf).where("not failed").groupBy(sep.alias("beta_sep"), "method").agg(F.avg("recovery").alias("recovery"), F.avg("ari").alias("ari"))
     got = checks.pilot_verdicts(means, ["single", "two_stage", "features_only"], "joint", "features_only", F.lit(10))
     return got.select(r("blind_excess"), r("informed_excess"), r("variation", 4), r("best_ari"), r("best_excess"), "p1", "p2", "p3")
+
+
+# ---------------------------------------------------------------- claims as data
+
+#: id, measure, relation, bound; claims A to L of two arms of fits, each measured on the cells of the trial table
+CLAIMS = [("A", "margin_over_features_only", ">", 0.0), ("B", "margin_over_two_stage", ">", 0.0), ("C", "margin_over_single", ">", 0.0),
+          ("D", "blind_excess", "<", 0.05), ("D", "own_excess", ">", 0.05), ("E", "gain_variation", "<", 0.5), ("F", "largest_ari", "<", 0.10),
+          ("F", "least_excess", ">", 0.05), ("G", "recovery_rise", ">", 0.0), ("H", "gain_rise", ">", 0.0), ("I", "gain_fall", "<", 0.0),
+          ("J", "error_margin", ">=", 0.0), ("K", "size_margin", "<=", 0.0), ("L", "power", None, None)]
+ARMS = {"frozen": "joint", "converged": "tight"}
+_BLIND = ("features_only", "two_stage", "single")
+
+
+def _claims_sql() -> str:
+    kept = "trial WHERE NOT failed AND NOT degenerate"
+    wide = ", ".join(f"max({{v}}) FILTER (method = '{m}') AS {m}" for m in METHODS)
+    floor = "sqrt(2 / (pi() * 10))"
+    parts, facts = [], []
+    parts += [f"w_{v} AS (SELECT cell, rep, {wide.format(v=v)} FROM {kept} GROUP BY 1, 2)" for v in ("recovery", "mse_eta")]
+    parts.append(f"me AS (SELECT method, cell, avg(recovery) AS rec, stddev_samp(recovery) / sqrt(count(recovery)) AS rec_e, avg(ari) AS ari FROM {kept} GROUP BY 1, 2)")
+    for arm, m in ARMS.items():
+        pairs = " UNION ALL ".join(f"SELECT cell, '{c}' AS c, {m} - {c} AS d FROM w_recovery" for c in _BLIND)
+        parts.append(f"p_{arm} AS (SELECT cell, c, avg(d) AS diff, stddev_samp(d) / sqrt(count(d)) AS e, substr(cell, 1, 1)::DOUBLE AS x FROM ({pairs}) GROUP BY 1, 2)")
+        parts.append(f"g_{arm} AS (SELECT arg_min(diff, cell) AS d0, arg_max(diff, cell) AS d1, arg_min(e, cell) AS e0, arg_max(e, cell) AS e1, "
+                     f"stddev_samp(diff / (x * x)) / avg(diff / (x * x)) AS cv FROM p_{arm} WHERE c = 'features_only')")
+        parts.append(f"r_{arm} AS (SELECT arg_max(rec, cell) - arg_min(rec, cell) - 2 * sqrt(arg_max(rec_e, cell) ** 2 + arg_min(rec_e, cell) ** 2) AS rise, max(ari) AS ari, "
+                     f"min(rec) - {floor} AS least, avg(rec) - {floor} AS own FROM me WHERE method = '{m}')")
+        fact = lambda name, value, source, arm=arm: f"SELECT '{arm}' AS arm, {name} AS measure, {value} AS value FROM {source}"
+        facts += [fact("'margin_over_' || c", "diff - 2 * e", f"p_{arm}"),
+                  fact("'blind_excess'", "max(a)", f"(SELECT avg(rec) - {floor} AS a FROM me WHERE method IN {_BLIND} GROUP BY method)"),
+                  fact("'own_excess'", "own", f"r_{arm}"), fact("'gain_variation'", "cv", f"g_{arm}"), fact("'largest_ari'", "ari", f"r_{arm}"),
+                  fact("'least_excess'", "least", f"r_{arm}"), fact("'recovery_rise'", "rise", f"r_{arm}"),
+                  fact("'gain_rise'", "d1 - d0 - 2 * sqrt(e0 * e0 + e1 * e1)", f"g_{arm}"), fact("'gain_fall'", "d1 - d0 + 2 * sqrt(e0 * e0 + e1 * e1)", f"g_{arm}"),
+                  fact("'error_margin'", "avg(d) + 2 * stddev_samp(d) / sqrt(count(d))", f"(SELECT cell, {m} - single AS d FROM w_mse_eta) GROUP BY cell"),
+                  fact("'size_margin'", "avg((ari <= 0.05)::INTEGER) - 0.05 - 2 * sqrt(0.0475 / count(*))", f"{kept} AND method = '{m}' GROUP BY cell"),
+                  fact("'power'", "avg((ari <= 0.05)::INTEGER)", f"{kept} AND method = '{m}' GROUP BY cell")]
+    rules = ", ".join(f"('{i}', '{m}', {'NULL' if r_ is None else repr(r_)}, {'NULL' if b is None else b})" for i, m, r_, b in CLAIMS)
+    return f"""WITH {TRIAL}, {', '.join(parts)}, facts AS ({' UNION ALL '.join(facts)}),
+rules(id, measure, relation, bound) AS (VALUES {rules}),
+j AS (SELECT id, arm, value, CASE relation WHEN '>' THEN value > bound WHEN '>=' THEN value >= bound WHEN '<' THEN value < bound WHEN '<=' THEN value <= bound END AS met
+  FROM rules JOIN facts USING (measure))
+SELECT id, arm, count(value) AS cells, count(*) FILTER (met) AS met, CASE WHEN count(*) FILTER (NOT met) > 0 THEN false WHEN count(*) FILTER (met) < count(*) THEN NULL ELSE true END AS holds
+FROM j GROUP BY 1, 2"""
+
+
+@query("claims", _claims_sql())
+def q_claims(spark, sf):
+    """Claims A to L for two arms: rules joined to what was measured on each cell, judged in three-valued logic."""
+    t = trial(spark, sf)
+    kept = t.where("not failed and not degenerate")
+    floor = (2 / (math.pi * 10)) ** 0.5
+    rec, err = (summaries.wide(t, ["cell"], METHODS, value=v) for v in ("recovery", "mse_eta"))
+    means = kept.groupBy("method", "cell").agg(F.avg("recovery").alias("rec"), summaries.mcse("recovery").alias("rec_e"), F.avg("ari").alias("ari"))
+    blind = means.where(F.col("method").isin(*_BLIND)).groupBy("method").agg((F.avg("rec") - floor).alias("a")).agg(F.max("a").alias("blind_excess"))
+
+    def long(rows, arm, *names):
+        return rows.select(F.lit(arm).alias("arm"), F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*names)))).withColumnsRenamed({"key": "measure"})
+
+    facts = None
+    for arm, m in ARMS.items():
+        d = summaries.paired_differences(rec, ["cell"], m, list(_BLIND))
+        gain = d.where("comparator = 'features_only'")
+        ends = [F.min_by(F.struct("diff", F.col("diff_mcse").alias("e")), "cell").alias("a"), F.max_by(F.struct("diff", F.col("diff_mcse").alias("e")), "cell").alias("z")]
+        scaled = F.col("diff") / F.pow(F.substring("cell", 1, 1).cast("double"), F.lit(2.0))
+        moved = gain.agg(*ends, (F.stddev_samp(scaled) / F.avg(scaled)).alias("gain_variation")).select(
+            "gain_variation", (F.col("z.diff") - F.col("a.diff")).alias("by"), F.sqrt(F.col("a.e") ** 2 + F.col("z.e") ** 2).alias("se")).select(
+            "gain_variation", (F.col("by") - 2 * F.col("se")).alias("gain_rise"), (F.col("by") + 2 * F.col("se")).alias("gain_fall"))
+        own = means.where(F.col("method") == m)
+        two = [F.min_by(F.struct("rec", "rec_e"), "cell").alias("a"), F.max_by(F.struct("rec", "rec_e"), "cell").alias("z")]
+        levels = own.agg(*two, F.max("ari").alias("largest_ari"), (F.min("rec") - floor).alias("least_excess"), (F.avg("rec") - floor).alias("own_excess")).select(
+            "largest_ari", "least_excess", "own_excess",
+            (F.col("z.rec") - F.col("a.rec") - 2 * F.sqrt(F.col("a.rec_e") ** 2 + F.col("z.rec_e") ** 2)).alias("recovery_rise"))
+        worse = summaries.paired_differences(err, ["cell"], m, ["single"]).select((F.col("diff") + 2 * F.col("diff_mcse")).alias("error_margin"))
+        size = summaries.rejection_rates(kept.where(F.col("method") == m), ["cell"], "ari").select((F.col("rate") - F.col("upper")).alias("size_margin"), F.col("rate").alias("power"))
+        parts = [d.select(F.lit(arm).alias("arm"), F.concat(F.lit("margin_over_"), "comparator").alias("measure"), (F.col("diff") - 2 * F.col("diff_mcse")).alias("value")),
+                 long(blind, arm, "blind_excess"), long(moved, arm, *moved.columns), long(levels, arm, *levels.columns), long(worse, arm, "error_margin"),
+                 long(size, arm, "size_margin", "power")]
+        for part in parts:
+            facts = part if facts is None else facts.unionByName(part)
+    rules = spark.createDataFrame(CLAIMS, "id string, measure string, relation string, bound double")
+    return checks.judged_claims(facts, rules, ["arm"])
+
+
+@query("cell_manifest", f"""WITH {TRIAL} SELECT cell, count(*) AS rows, count(DISTINCT rep) AS reps, true AS read_back FROM trial GROUP BY 1""")
+def q_manifest(spark, sf):
+    """The trial rows through the two-phase sink, a cell replaced in a second commit: the manifest against what is read back."""
+    import uuid
+
+    from mixhaz.sources import cells
+    from mixhaz.sources.durable import checkpoint_dir
+
+    path = f"{checkpoint_dir(spark)}/cells-{uuid.uuid4().hex}"
+    t = trial(spark, sf).select("cell", "rep", "method", "ari", "events", "failed")
+    cells.write_cells(t, path)
+    cells.write_cells(t.where("cell = '1-URGENT'"), path)
+    kept = cells.read_results(spark, path)
+    again = cells.fingerprints(kept).withColumnsRenamed({"rows": "r", "fingerprint": "f"})
+    reps = kept.groupBy("cell").agg(F.count_distinct("rep").alias("reps"))
+    same = (F.col("rows") == F.col("r")) & (F.col("fingerprint") == F.col("f"))
+    return cells.manifest(spark, path).join(again, "cell").join(reps, "cell").select("cell", "rows", "reps", same.alias("read_back"))

@@ -142,35 +142,4 @@ def rand_index(counts: np.ndarray) -> float:
     return 1.0 if top == expected else (both - expected) / (top - expected)
 
 
-# ---------------------------------------------------------------- durable result tables
-
-def write_cells(results: DataFrame, path: str) -> None:
-    """Write result rows partitioned by cell; only the cells at hand are replaced."""
-    (results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cell").parquet(path))
-
-
-def read_results(spark, path: str) -> DataFrame | None:
-    """Earlier results, or None where nothing was written yet."""
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.parquet(path) if files.exists(jpath) else None
-
-
-def open_cells(registry: DataFrame, path: str) -> DataFrame:
-    """Registered cells (cell, reps) whose results are missing or incomplete."""
-    done = read_results(registry.sparkSession, path)
-    if done is None:
-        return registry
-    have = done.groupBy("cell").agg(F.count_distinct("rep").alias("_have"))
-    return registry.join(have, "cell", "left").where(F.coalesce("_have", F.lit(0)) < F.col("reps")).drop("_have")
-
-
-def collect_cells(registry: DataFrame, path: str) -> DataFrame:
-    """All result rows in cell order; refuses while a registered cell is incomplete."""
-    left = [r["cell"] for r in open_cells(registry, path).select("cell").orderBy("cell").collect()]
-    if left:
-        raise InputError(f"cells without complete results: {left}")
-    return read_results(registry.sparkSession, path).orderBy("cell", "rep", "method")
-
-
-__all__ = ["METHODS", "collect_cells", "open_cells", "read_results", "run_study", "simulated_study", "write_cells"]
+__all__ = ["METHODS", "run_study", "simulated_study"]

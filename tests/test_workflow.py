@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from mixhaz import InputError, beta_heatmap, final_model, fit_mixture, fit_model, read_data, run_cv
 from mixhaz.operators.simulate import simulate, truth
 from mixhaz.plans.selftest import selftest
+from mixhaz.sources import cells as cells_of
 from mixhaz.operators.simulate import geometry
 from mixhaz.plans import experiments
 from mixhaz.streaming.scoring import score_stream, write_scores
@@ -119,13 +120,13 @@ def test_study_and_durable_results(spark, tmp_path):
     assert table[0, "oracle"]["mse_eta"] < table[0, "single"]["mse_eta"]
     path = str(tmp_path / "res")
     registry = spark.createDataFrame([(0, 2), (1, 1)], "cell int, reps int")
-    assert experiments.read_results(spark, path) is None and experiments.open_cells(registry, path).count() == 2
-    experiments.write_cells(got.where("cell = 0"), path)
-    assert [r["cell"] for r in experiments.open_cells(registry, path).collect()] == [1]
+    assert cells_of.read_results(spark, path) is None and cells_of.open_cells(registry, path).count() == 2
+    cells_of.write_cells(got.where("cell = 0"), path)
+    assert [r["cell"] for r in cells_of.open_cells(registry, path).collect()] == [1]
     with pytest.raises(InputError):
-        experiments.collect_cells(registry, path)
-    experiments.write_cells(got.where("cell = 1"), path)
-    assert experiments.collect_cells(registry, path).count() == got.count()
+        cells_of.collect_cells(registry, path)
+    cells_of.write_cells(got.where("cell = 1"), path)
+    assert cells_of.collect_cells(registry, path).count() == got.count()
 
 
 def test_stream_scoring(spark, tmp_path, study):
