@@ -1157,7 +1157,7 @@ def _claims_sql() -> str:
 rules(id, measure, relation, bound) AS (VALUES {rules}),
 j AS (SELECT id, arm, value, CASE relation WHEN '>' THEN value > bound WHEN '>=' THEN value >= bound WHEN '<' THEN value < bound WHEN '<=' THEN value <= bound END AS met
   FROM rules JOIN facts USING (measure))
-SELECT id, arm, count(value) AS cells, count(*) FILTER (met) AS met, CASE WHEN count(*) FILTER (NOT met) > 0 THEN false WHEN count(*) FILTER (met) < count(*) THEN NULL ELSE true END AS holds
+SELECT id, arm, count(value) AS cells, count(*) FILTER (met) AS met, CASE WHEN count(*) FILTER (NOT met) > 0 THEN 'fails' WHEN count(*) FILTER (met) < count(*) THEN 'open' ELSE 'holds' END AS verdict
 FROM j GROUP BY 1, 2"""
 
 
@@ -1196,7 +1196,8 @@ def q_claims(spark, sf):
         for part in parts:
             facts = part if facts is None else facts.unionByName(part)
     rules = spark.createDataFrame(CLAIMS, "id string, measure string, relation string, bound double")
-    return checks.judged_claims(facts, rules, ["arm"])
+    verdict = F.when(F.col("holds"), "holds").when(~F.col("holds"), "fails").otherwise("open")
+    return checks.judged_claims(facts, rules, ["arm"]).select("id", "arm", "cells", "met", verdict.alias("verdict"))
 
 
 @query("cell_manifest", f"""WITH {TRIAL} SELECT cell, count(*) AS rows, count(DISTINCT rep) AS reps, true AS read_back FROM trial GROUP BY 1""")
