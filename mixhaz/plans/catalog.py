@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1217,3 +1218,48 @@ def q_manifest(spark, sf):
     reps = kept.groupBy("cell").agg(F.count_distinct("rep").alias("reps"))
     same = (F.col("rows") == F.col("r")) & (F.col("fingerprint") == F.col("f"))
     return cells.manifest(spark, path).join(again, "cell").join(reps, "cell").select("cell", "rows", "reps", same.alias("read_back"))
+
+
+# ---------------------------------------------------------------- methods compared on the groups of a table
+
+_PARTS = "concat(CASE WHEN i_building = 1 THEN 'building' ELSE 'other' END, '-', (id % 4)::VARCHAR)"
+
+
+@query("group_comparison", f"""WITH {SPELL}, g AS (SELECT {_PARTS} AS part, count(*) AS n, sum(status)::BIGINT AS events,
+  least(count(*) FILTER (f_lines < 4), count(*) FILTER (f_lines >= 4)) AS small, least(sum(status) FILTER (f_lines < 4), sum(status) FILTER (f_lines >= 4))::BIGINT AS small_events FROM spell GROUP BY 1)
+SELECT part, m AS method, n, events, CASE m WHEN 'labelled' THEN small WHEN 'single' THEN n END AS min_size, CASE m WHEN 'labelled' THEN small_events WHEN 'single' THEN events END AS min_events,
+  CASE m WHEN 'labelled' THEN 1.0 END::DOUBLE AS ari, false AS failed, true AS settled
+FROM g, (SELECT unnest(['single', 'two_stage', 'labelled', 'features_only', 'joint', 'gated', 'joint_temp2', 'joint_normalised']) AS m)""")
+def q_groups(spark, sf):
+    """Eight methods on eight parts of the spells, with few and many lines as given labels: counts at given labels are those of SQL."""
+    from mixhaz.plans.comparison import compare_methods
+
+    part = F.concat(F.when(F.col(INDICATOR) == 1, "building").otherwise("other"), F.lit("-"), (F.col("id") % 4).cast("string"))
+    s = spell(spark, sf).withColumn("part", part).withColumn("few", (F.col("f_lines") >= 4).cast("int"))
+    got = compare_methods(s, "part", FIT_CLUSTER, ["f_price", "f_bal", "f_qty"], label="few", methods=(
+        "single", "two_stage", "labelled", "features_only", "joint", "gated", "joint_temp2", "joint_normalised"))
+    given = F.col("method").isin("single", "labelled")
+    return got.select("part", "method", "n", "events", *[F.when(given, F.col(c)).alias(c) for c in ("min_size", "min_events")],
+                      F.when(F.col("method") == "labelled", F.round("ari", 6)).alias("ari"), "failed",
+                      F.coalesce("converged", F.lit(True)).alias("settled"))
+
+
+_PRIOR = (len(CLUSTER_FEATURES) + 2, 2 ** (-2 / len(CLUSTER_FEATURES)))
+
+
+@query("map_moment_step", f"WITH {TAU}, m AS (" + " UNION ALL ".join(
+    f"SELECT {k} AS cluster, '{z}' AS feature, sum(tau{k}) AS w, sum(tau{k} * {z}) AS s, sum(tau{k} * {z} * {z}) AS q FROM tau" for k in (1, 2) for z in CLUSTER_FEATURES) + f""")
+SELECT cluster, feature, round(s / (w + 0.01), 6) AS mean, round(({_PRIOR[1]!r} + q - s * s / w + 0.01 * w / (0.01 + w) * (s / w) * (s / w)) / ({_PRIOR[0]} + w + 3), 6) AS variance FROM m""")
+def q_map(spark, sf):
+    """One step of the mixture with a conjugate prior from fixed memberships."""
+    from mixhaz.plans.engine import map_moments
+
+    tau = ["tau1", "tau2"]
+    sums = mixture.weighted_moments(memberships(spark, sf), CLUSTER_FEATURES, tau, ridge=0.0).collect()
+    rows = []
+    for s in sums:  # one row for each cluster and feature
+        w, mean = s["weight_sum"], s["mean"]
+        square = w * (s["variance"] + mean * mean)
+        m, v = map_moments(w, np.array([w * mean] * len(CLUSTER_FEATURES)), np.array([square] * len(CLUSTER_FEATURES)), len(tau))
+        rows.append((s["cluster"], s["feature"], round(float(m[0]), 6), round(float(v[0]), 6)))
+    return spark.createDataFrame(rows, "cluster int, feature string, mean double, variance double")
