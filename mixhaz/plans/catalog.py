@@ -1228,7 +1228,7 @@ _PARTS = "concat(CASE WHEN i_building = 1 THEN 'building' ELSE 'other' END, '-',
 @query("group_comparison", f"""WITH {SPELL}, g AS (SELECT {_PARTS} AS part, count(*) AS n, sum(status)::BIGINT AS events,
   least(count(*) FILTER (f_lines < 4), count(*) FILTER (f_lines >= 4)) AS small, least(sum(status) FILTER (f_lines < 4), sum(status) FILTER (f_lines >= 4))::BIGINT AS small_events FROM spell GROUP BY 1)
 SELECT part, m AS method, n, events, CASE m WHEN 'labelled' THEN small WHEN 'single' THEN n END AS min_size, CASE m WHEN 'labelled' THEN small_events WHEN 'single' THEN events END AS min_events,
-  CASE m WHEN 'labelled' THEN 1.0 END::DOUBLE AS ari, false AS failed, true AS settled
+  CASE m WHEN 'labelled' THEN 1.0 END::DOUBLE AS ari, false AS failed
 FROM g, (SELECT unnest(['single', 'two_stage', 'labelled', 'features_only', 'joint', 'gated', 'joint_temp2', 'joint_normalised']) AS m)""")
 def q_groups(spark, sf):
     """Eight methods on eight parts of the spells, with few and many lines as given labels: counts at given labels are those of SQL."""
@@ -1240,8 +1240,7 @@ def q_groups(spark, sf):
         "single", "two_stage", "labelled", "features_only", "joint", "gated", "joint_temp2", "joint_normalised"))
     given = F.col("method").isin("single", "labelled")
     return got.select("part", "method", "n", "events", *[F.when(given, F.col(c)).alias(c) for c in ("min_size", "min_events")],
-                      F.when(F.col("method") == "labelled", F.round("ari", 6)).alias("ari"), "failed",
-                      F.coalesce("converged", F.lit(True)).alias("settled"))
+                      F.when(F.col("method") == "labelled", F.round("ari", 6)).alias("ari"), "failed")
 
 
 _PRIOR = (len(CLUSTER_FEATURES) + 2, 2 ** (-2 / len(CLUSTER_FEATURES)))
