@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .tables import attach, carried, cut, documents, keyed, small
 from .text import DARK, Chunk, Rolling, as_long, lists, map_texts, mix
 
-ROWS, BANDS, LEADER_ROUNDS = 4, 20, 5
+ROWS, BANDS, LEADER_ROUNDS = 4, 20, 3
 
 
 def shingles(chunk: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,9 +108,6 @@ def components(links: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    pairs = cut(pairs)
-    asked = cut(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct())
-    full = full.join(small(asked), "rep", "left_semi")
     one = full.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
     two = full.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y")).cast("long")
@@ -142,9 +139,11 @@ def _prefix_pairs(members: DataFrame, full: DataFrame, percent: int) -> DataFram
              .select("rep", F.posexplode(F.slice("order", F.lit(1), begin)).alias("i", "s")).select("rep", "i", "s.h"))
     order = cut(order.join(nodes, "rep").select("h", "rep", "i", "n", "component", "apart"))
     one = order.filter("apart").select("h", F.col("rep").alias("a"), "i", "n", "component")
-    two = order.select("h", F.col("rep").alias("b"), F.col("i").alias("j"), F.col("n").alias("m"), F.col("component").alias("other"))
+    two = order.select("h", F.col("rep").alias("b"), F.col("i").alias("j"), F.col("n").alias("m"), F.col("component").alias("other"),
+                       F.col("apart").alias("also"))
     rest = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
-    on = ((one.h == two.h) & (F.col("component") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    # two of them that are both apart meet once
+    on = ((one.h == two.h) & (F.col("component") != F.col("other")) & (~F.col("also") | (F.col("a") < F.col("b"))) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
           & ((100 + percent) * rest >= percent * (F.col("n") + F.col("m"))))
     return one.join(two, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -191,10 +190,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
             break
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-        now = cut(now.drop("component").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-                  .withColumn("component", F.coalesce("component", "rep")))
         # buckets of one component are closed
-        now = _open(now)
+        now = _open(now.drop("component").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+                    .withColumn("component", F.coalesce("component", "rep")))
     found = cut(_verified(_prefix_pairs(now, full, percent), full, percent))
     if not found.isEmpty():
         labels = components(links.unionByName(found))
