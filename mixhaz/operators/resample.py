@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixhaz.functions.exprs import hash_uniform
+from mixhaz.functions.exprs import hash_uniform, total
 from mixhaz.operators.prefix import hash_rank
 from mixhaz.operators.survival import inverse_hazard_draw, inverse_survival_draw
 
@@ -33,6 +33,15 @@ def permute_outcome(df: DataFrame, seed, ident: str = "id", keys: Sequence[str]
     return takes.join(gives, [*keys, "_pos"]).drop("_pos")
 
 
+def drawn_cluster(u: Column, memberships: Sequence[Column], values: Sequence[Column]) -> tuple[Column, Column]:
+    """(cluster, its value): the first cluster, from 1, whose cumulative membership reaches the uniform `u`; the last one beyond rounding."""
+    z, value = F.lit(len(memberships)), values[-1]
+    for k in range(len(memberships) - 2, -1, -1):
+        reach = u <= total(memberships[: k + 1])
+        z, value = F.when(reach, k + 1).otherwise(z), F.when(reach, values[k]).otherwise(value)
+    return z.cast("int"), value
+
+
 def bootstrap_outcome(
     df: DataFrame, seed, eta: Column, baseline: DataFrame, censoring: DataFrame, last_time: Column | float,
     ident: str = "id", keys=(), tag=(),

@@ -567,6 +567,25 @@ def q_bootstrap(spark, sf):
     return resample.bootstrap_outcome(p, "9", F.col("eta1"), base, cens, last).select("id", "time", "status")
 
 
+@query("bootstrap_k2", f"""WITH {_PRED}, {_KM}, grid AS (SELECT * FROM haz WHERE num > 0), falls AS (SELECT -surv AS f, min(time) AS time FROM km GROUP BY 1),
+dz AS (SELECT id, CASE WHEN {u_sql('z9')} <= t1 THEN 1 ELSE 2 END AS cluster, eta1, eta2 FROM pr),
+q AS (SELECT id, cluster, -ln({u_sql('9e')}) / exp(CASE cluster WHEN 1 THEN eta1 ELSE eta2 END) AS h, -({u_sql('9c')}) AS u FROM dz),
+e AS (SELECT q.*, grid.time AS ev FROM q ASOF LEFT JOIN grid ON q.h <= grid.cumhaz),
+c AS (SELECT e.*, falls.time AS ce FROM e ASOF LEFT JOIN falls ON e.u <= falls.f),
+m AS (SELECT max(time) AS tmax FROM spell)
+SELECT id, cluster, least(coalesce(ev, 1e300), coalesce(ce, 1e300), tmax) AS time,
+  (coalesce(ev, 1e300) <= coalesce(ce, 1e301) AND coalesce(ev, 1e300) <= tmax)::INTEGER AS status FROM c, m""")
+def q_bootstrap_two(spark, sf):
+    """Outcomes of a two-cluster model: the cluster is drawn by membership, then times from its hazard."""
+    p = _predicted(spark, sf)
+    base = steps_of(p).where("events > 0")
+    cens = survival.kaplan_meier(p.select("time", "status"), 1 - F.col("status"))
+    last = p.agg(F.max("time").alias("t")).first()["t"]
+    z, eta = resample.drawn_cluster(X.hash_uniform("z9", "id"), [F.col("t1"), F.col("t2")], [F.col("eta1"), F.col("eta2")])
+    rows = p.withColumn("cluster", z).withColumn("_eta", eta)
+    return resample.bootstrap_outcome(rows, "9", F.col("_eta"), base, cens, last).select("id", "cluster", "time", "status")
+
+
 # ---------------------------------------------------------------- metrics
 
 @query("adjusted_rand", f"""WITH {TAU}, lab AS (SELECT CASE WHEN tau1 >= tau2 THEN 1 ELSE 2 END AS a, i_building AS b FROM tau JOIN spell USING (id)),
