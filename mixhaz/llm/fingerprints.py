@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .suffix_array import numbered
-from .tables import cut, documents, keyed, small
+from .tables import attach, cut, documents, keyed, small
 
 SIZE, K = 5, 128
 #: consecutive documents that are brought together to find each one's successor
@@ -69,7 +69,11 @@ def _with_successor(docs: DataFrame) -> DataFrame:
     """doc_id, text (null: empty) and n, number in the order of doc_id, of every row, in buckets of consecutive rows; a bucket ends
     with the first row of the next one (`extra`), the last with the first row of all. Rows that tie are ordered by a hash of their text."""
     base = keyed(docs)
-    rows = base.groupBy("doc_id", "key").agg(F.count("*").cast("int").alias("copies"))
+    rows = cut(base.groupBy("doc_id", "key").agg(F.count("*").cast("int").alias("copies")))
+    twice = rows.filter("copies > 1").select("doc_id", "key")
+    if not twice.isEmpty():  # one text stands for all rows that repeat it, which then meet their numbers once each
+        twice = small(cut(twice))
+        base = attach(base, twice, "left_anti").unionByName(attach(base, twice, "left_semi").dropDuplicates(["doc_id", "key"]))
     each = rows.select("doc_id", "key", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
     order = cut(numbered(each, ["doc_id", "key", "copy"], "n").select("doc_id", "key", "n").withColumnsRenamed({"doc_id": "_id", "key": "_key"}))
     total = order.count()
@@ -79,9 +83,7 @@ def _with_successor(docs: DataFrame) -> DataFrame:
     before = before.otherwise(F.struct((here - 1).alias("bucket"), F.col("n"), F.lit(True).alias("extra")))
     own = F.struct(here.alias("bucket"), F.col("n"), F.lit(False).alias("extra"))
     places = F.when(F.col("n") % BUCKET == 0, F.array(own, before)).otherwise(F.array(own))
-    spread = found.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.explode(places).alias("p")).select("doc_id", "text", "p.*")
-    line = Window.partitionBy("bucket").orderBy("n")
-    return spread.withColumn("_seen", F.lag("n").over(line)).filter("_seen is null or _seen <> n").drop("_seen")  # copies met each number twice
+    return found.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.explode(places).alias("p")).select("doc_id", "text", "p.*")
 
 
 def fingerprints(docs: DataFrame, size: int = SIZE, k: int = K) -> DataFrame:
