@@ -32,7 +32,7 @@ with recursive step(place, token, live) as (
     from (select n.place >> 32 as word, n.other, (m.merged << 32) + (n.place & 4294967295) as rank
           from (select place, token, lead(token) over w as following, lead(place) over w as other
                 from step where live window w as (order by place)) n
-          join merges m on m.pair = n.token * 65536 + n.following where n.other >> 32 = n.place >> 32)
+          join merges m on m.pair = (n.token << 32) + n.following where n.other >> 32 = n.place >> 32)
     group by word) b on s.place >> 32 = b.word
   where s.live and (b.word is null or s.place <> b.other))
 select s.place >> 32 as word, string_agg(s.token::varchar, ' ' order by s.place) as ids, string_agg(v.hex, '' order by s.place) as bytes, count(*) as n
@@ -44,18 +44,20 @@ class Coder:
     """Encodes words by the ranks of a tiktoken file; ids, decoded bytes and number of tokens of each."""
 
     def __init__(self, ranks_path: str, pattern: str):
-        """Tokens up to 65535 only: pairs are packed into one number."""
+        """Tokens below 2**31: pairs are packed into one number."""
         import duckdb
         import regex
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
+        if max(ranks.values()) >= 1 << 31:
+            raise ValueError("ranks have to be below 2**31")
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.pattern = regex.compile(pattern)
         self.letters = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         first, second, merged = np.array(pairs, dtype=np.int64).T
-        merges = pa.table([pa.array(first * 65536 + second), pa.array(merged)], names=["pair", "merged"])  # noqa: F841
+        merges = pa.table([pa.array((first << 32) + second), pa.array(merged)], names=["pair", "merged"])  # noqa: F841
         vocabulary = pa.table([pa.array(ranks.values(), pa.int64()), pa.array([t.hex() for t in ranks])], names=["token", "hex"])  # noqa: F841
         self.db.execute("create table merges as from merges").execute("create table vocabulary as from vocabulary")
         self.known: dict[str, tuple[str, bytes, int]] = {}
