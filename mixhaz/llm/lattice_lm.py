@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from .text import DARK, Chunk, _byte_values, _powers, as_long, map_texts, mix, r
 FREQUENT = 500_000
 #: rank that is added to a piece's before it is inverted to a weight
 SHIFT = 2.7
-DP_WORDS = 50_000
+DP_WORDS, DP_BYTES = 50_000, 1 << 20
 #: rounds in which the pieces' weights are fitted to the distinct training words; 0 takes the vocabulary's scores alone
 ROUNDS = 1
 
@@ -135,14 +136,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _batched(batches, work):
-    """`work` on tables of DP_WORDS rows and more, so that words of one length come together."""
-    held, rows = [], 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= DP_WORDS:
-            yield work(pa.Table.from_batches(held))
-            held, rows = [], 0
+    """`work` on tables of about DP_WORDS rows or DP_BYTES bytes of words, so that words of one length come together."""
+    held, rows, size = [], 0, 0
+    for whole in batches:
+        ends = np.cumsum(pc.binary_length(whole.column("word")).to_numpy()) if whole.num_rows else np.empty(0)
+        lo = 0
+        while lo < whole.num_rows:
+            done = ends[lo - 1] if lo else 0
+            hi = min(max(lo + 1, int(np.searchsorted(ends, done + DP_BYTES - size, side="right"))), lo + DP_WORDS - rows, whole.num_rows)
+            held.append(whole.slice(lo, hi - lo))
+            rows, size, lo = rows + hi - lo, size + int(ends[hi - 1] - done), hi
+            if rows >= DP_WORDS or size >= DP_BYTES or lo < whole.num_rows:
+                yield work(pa.Table.from_batches(held))
+                held, rows, size = [], 0, 0
     if rows:
         yield work(pa.Table.from_batches(held))
 
