@@ -199,6 +199,13 @@ def test_cross_validation_identity(spark, study):
     assert cv.gmm[1, 1] == pytest.approx(held.agg(F.sum(m.feature_logdens(held))).first()[0], abs=1e-4)
 
 
+def test_names_of_survival_columns():
+    from mixhaz.plans.model import survival_names
+
+    assert survival_names([50.0, 0.001, 12341.0, 100000.0, 1234567.0]) == ["t=50", "t=0.001", "t=12340", "t=1e+05", "t=1235000"]
+    assert survival_names([365.21, 365.24, 10.0]) == ["t=365.21", "t=365.24", "t=10"]
+
+
 def test_p_value():
     assert p_value(1.0, [0.5, 1.0, 2.0, float("nan")]) == (3 / 4, 3)
 
