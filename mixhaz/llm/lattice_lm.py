@@ -143,6 +143,9 @@ def _batched(batches, work):
         lo = 0
         while lo < whole.num_rows:
             done = ends[lo - 1] if lo else 0
+            if rows and size + ends[lo] - done > DP_BYTES:  # a long word begins a batch of its own
+                yield work(pa.Table.from_batches(held))
+                held, rows, size = [], 0, 0
             hi = min(max(lo + 1, int(np.searchsorted(ends, done + DP_BYTES - size, side="right"))), lo + DP_WORDS - rows, whole.num_rows)
             held.append(whole.slice(lo, hi - lo))
             rows, size, lo = rows + hi - lo, size + int(ends[hi - 1] - done), hi
