@@ -295,9 +295,14 @@ def _listed(spans, only_base: bool):
     return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", F.get(kinds, s["kind"].cast("int")), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def _number(kind: int):
+    """Spans of a kind. The kind is no argument of the inner function: a second one would be given the place in the array."""
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
 def op12_private_data(spark, sf_dir: str) -> DataFrame:
     """Spans of personal data and of terms that give it away, of every document. Null texts have none."""
     found = private_spans(documents(spark, sf_dir))
-    count = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}") for i in range(TERM)]
-    return found.select("doc_id", *count, F.sha2(_listed(F.col("spans"), True), 256).alias("base_sha256"), _listed(F.col("spans"), False).alias("spans"),
-                        F.size(F.filter("spans", lambda s: s["kind"] == TERM)).cast("long").alias("n_term"))
+    count = [_number(kind).alias(f"n_{name}") for kind, name in enumerate(KINDS)]
+    return found.select("doc_id", *count[:TERM], F.sha2(_listed(F.col("spans"), True), 256).alias("base_sha256"), _listed(F.col("spans"), False).alias("spans"),
+                        count[TERM])

@@ -254,6 +254,24 @@ def test_sanitised_and_empty(spark):
     assert sanitised(documents(spark, [])).count() == 0
 
 
+def test_private_data_query(spark, tmp_path):
+    from mixhaz.llm.disclosure import op12_private_data
+
+    rows = private_rows()
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op12_private_data(spark, str(tmp_path)).collect()
+    want = []
+    for i, text in rows:
+        base = sorted(plain_base(text))
+        kinds = [s[1] for s in base]
+        listed = ",".join(f"{PATTERNS[s[1]][0]}:{s[0]}:{s[2]}" for s in base)
+        want.append((i, *(kinds.count(k) for k in range(4)), hashlib.sha256(listed.encode()).hexdigest()))
+    found = [(r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in got]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+    assert all(sum(w[k] for w in want) for k in range(1, 5))
+    assert all(r["n_term"] == r["spans"].count("term:") for r in got)
+
+
 # ---------------------------------------------------------------- hard negatives
 
 VECTORS = "vec_id long, embedding array<float>, label int, rank int, q string, anchor long"
