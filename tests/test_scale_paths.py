@@ -1,6 +1,7 @@
 """The forms that only large inputs reach, forced on small ones."""
 
 import warnings
+from collections import Counter
 
 import numpy as np
 from paths import SF
@@ -92,3 +93,17 @@ def test_equal_rows_without_identifier_draw_different_outcomes(study):
     df, _ = study
     rows = with_row_id(df.unionByName(df), [*FEATS, "time", "status"], None)
     assert rows.count() == 600 and rows.select(ROW_ID).distinct().count() == 600
+
+
+def test_trial_rows_of_a_task_are_bounded(spark, monkeypatch):
+    """Tasks of the trial rows grow with the line items, whatever a shuffle's bytes say; the rows stay the same."""
+    from mixhaz.plans import catalog
+
+    key = lambda rows: sorted(map(tuple, rows))
+    exact = ["cell", "rep", "method", "p", "events", "failed", "degenerate"]
+    want = key(catalog.trial(spark, SF).select(*exact).collect())
+    monkeypatch.setattr(catalog, "LINE_ROWS", 500, raising=False)
+    got = catalog.trial(spark, SF).select(*exact, F.spark_partition_id().alias("task")).collect()
+    in_task = Counter(r["task"] for r in got)
+    assert key(r[:-1] for r in got) == want
+    assert len(in_task) > 6 and max(in_task.values()) <= 1000
