@@ -1,7 +1,7 @@
 """Comparison of methods on the groups of a given table: one row for each group and method.
 
 Every group (a trial site, a replicate, a period) is a data set of its own. Its rows meet in one task, which fits all methods there with the engine of
-`tasks`; nothing of a group passes through the driver, and a group or method that fails gives a row that says so.
+`tasks`; larger groups may go by passes. Nothing of a group passes through the driver, and a group or method that fails gives a row that says so.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from mixhaz.functions.exprs import col, hash_uniform
 from mixhaz.operators.scaling import InputError
 from mixhaz.plans import kernels, tasks
-from mixhaz.plans.engine import Fit, Job
-from mixhaz.plans.fitting import make_settings
-from mixhaz.plans.grids import DriverGrid
+from mixhaz.plans.engine import Engine, Fit, Job, weighting
+from mixhaz.plans.fitting import ROW_ID, make_settings, with_row_id
+from mixhaz.plans.grids import ClusterGrid, DriverGrid
+from mixhaz.plans.panel import build_panel
 
 #: what each method changes in the settings; single, two_stage and labelled end in plain proportional-hazards fits of hard groups
 METHODS: dict[str, dict] = {
@@ -48,19 +49,25 @@ def _fit_group(x, u, time, status, label, names, roles, base, methods) -> list[d
     data = tasks.Features(np.arange(n), u, x, names, None if label is None else label[:, None], fold)
     times, view = tasks.local_view(data, 0, time, status, fold)
     panel = tasks.LocalPanel(names, *roles, x, status, fold, times)
+    labels = 0 if label is None else int(label.max()) + 1
+    return _rows_of(lambda: tasks.LocalEngine(panel, view), panel, n, int(status.sum()), labels, base, methods)
+
+
+def _rows_of(engine_of, panel, n: int, events: int, labels: int, base, methods) -> list[dict]:
+    """A row for each method; `labels` is the number of given labels, 0 without any."""
     rows = []
     for method in methods:
-        row = {name: None for name, _ in FIELDS} | {"method": method, "n": n, "events": int(status.sum()), "failed": True}
+        row = {name: None for name, _ in FIELDS} | {"method": method, "n": n, "events": events, "failed": True}
         rows.append(row)
         try:
-            engine = tasks.LocalEngine(panel, view)
+            engine = engine_of()
             st = replace(base, **METHODS[method])
             if method in ("single", "labelled"):
-                if method == "labelled" and label is None:
+                if method == "labelled" and not labels:
                     raise InputError("no labels are given")
-                k = 1 if method == "single" else int(label.max()) + 1
+                k = 1 if method == "single" else labels
                 f = Fit(0, Job(replace(st, k=k, gamma=0.0), label=0 if method == "labelled" else None), panel)
-                engine.grid = DriverGrid(panel)
+                engine.grid = (DriverGrid if engine.cells(f) <= engine.driver_cells else ClusterGrid)(panel)
             else:
                 f = engine.run([Job(st)])[0]
                 if f.error is None:
@@ -72,14 +79,14 @@ def _fit_group(x, u, time, status, label, names, roles, base, methods) -> list[d
                 row["error"] = f.error
                 continue
             with np.errstate(all="ignore"):
-                hard = kernels.weights(f.record() | engine.grid.record(f, ("old", "old_jump") if f.mode == "hard" else ()), engine.part(None))
+                sums = engine.sweep([f], kernels.group_counts(labels), grids=weighting([f]))[0][f.id]
             plain = method in ("single", "two_stage", "labelled")
             beta = f.beta / f.cs[:, None]
-            size, dead = hard.sum(axis=0), hard.T @ status
+            size, dead, given = sums[:f.k], sums[f.k:2 * f.k], sums[2 * f.k:].reshape(f.k, labels)
             fitted = bool(f.trace)
             row |= {"failed": False, "objective": float(f.final_score) if fitted else None, "converged": bool(f.converged) if fitted else None,
                     "iterations": len(f.trace) if fitted else None, "sharpness": float(f.sharpness) if fitted else None,
-                    "ari": None if label is None or method == "single" else rand_index(hard.T @ np.eye(int(label.max()) + 1)[label]),
+                    "ari": None if not labels or method == "single" else float(rand_index(given)),
                     "min_size": int(size.min()), "min_events": int(dead.min()), "degenerate": bool(size.min() < 10 or dead.min() < 5),
                     "n_zero_fits": int((~beta.any(axis=0)).sum()) if plain else 0, "guard_bound": bool(f.guards), "beta": beta.T.ravel().tolist()}
         except Exception as e:  # noqa: BLE001  a failed method is a row of the result
@@ -87,14 +94,26 @@ def _fit_group(x, u, time, status, label, names, roles, base, methods) -> list[d
     return rows
 
 
+def _by_passes(df: DataFrame, roles, time: str, status: str, ident: str, label: str | None, base, methods) -> list[dict]:
+    """The rows of one group that is too large for a task: its table stays on the executors, the fits go by passes over it."""
+    names = list(dict.fromkeys([*roles[0], *roles[1]]))
+    given = [label] if label else []
+    panel = build_panel(with_row_id(df, [*names, time, status, *given], ident), *roles, time, status, ROW_ID, labels=given)
+    try:
+        labels = panel.data.agg(F.max(F.col("label")[0])).first()[0] + 1 if label else 0
+        return _rows_of(lambda: Engine(panel), panel, *panel.size(0, None), labels, base, methods)
+    finally:
+        panel.release()
+
+
 def compare_methods(df: DataFrame, group: str, cluster_vars: Sequence[str], hazard_vars: Sequence[str] | None = None, time: str = "time",
                     status: str = "status", ident: str = "id", label: str | None = None, methods: Sequence[str] = ("single", "two_stage", "features_only", "joint", "gated"),
-                    k: int = 2, task_cells: int | None = None, **options) -> DataFrame:
+                    k: int = 2, task_cells: int | None = None, by_passes: bool = False, **options) -> DataFrame:
     """One row per (group, method): sizes, objective, convergence, adjusted Rand index against `label` (0, 1, ...; optional), smallest cluster, beta (cluster by
     cluster, per unit of the feature).
 
-    Groups of more than `task_cells` numbers are not fitted here: their rows say so (fit them by themselves with `fit_mixture`). Rows with a null
-    group form a group.
+    Groups of more than `task_cells` numbers are not for one task: with `by_passes` they are fitted one after another by passes over the cluster, else
+    their rows say so. Rows with a null group form a group.
     """
     unknown = [m for m in methods if m not in METHODS]
     if unknown:
@@ -122,6 +141,14 @@ def compare_methods(df: DataFrame, group: str, cluster_vars: Sequence[str], haza
 
     kind = rows.schema["_group"].dataType.simpleString()
     done = fits.groupBy("_group").applyInArrow(run, f"_group {kind}, {_DDL}")
+    if by_passes:
+        # at most one group for each `limit` rows of the table
+        more = []
+        for g, in large.select("_group").collect():
+            part = df.where(col(group).eqNullSafe(F.lit(g)))
+            found = _by_passes(part, roles, time, status, ident, label, base, methods)
+            more += [(g, *(f[name] for name, _ in FIELDS)) for f in found]
+        return done.unionByName(df.sparkSession.createDataFrame(more, done.schema)).withColumnRenamed("_group", group) if more else done.withColumnRenamed("_group", group)
     told = large.select("_group", F.explode(F.array(*map(F.lit, methods))).alias("method"), "n", "events", F.lit(True).alias("failed"),
                         F.lit(f"more than {limit} rows: not for one task").alias("error"))
     return done.unionByName(told, allowMissingColumns=True).withColumnRenamed("_group", group)

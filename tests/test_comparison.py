@@ -46,6 +46,21 @@ def test_large_groups_say_so(study):
         compare_methods(df, "id", FEATS, methods=["none"])
 
 
+def test_large_groups_by_passes(study):
+    """A group that is too large for a task gets the rows that a task would give."""
+    df, _ = study
+    table = df.withColumn("g", F.lit("all")).withColumn("label", F.col("Z") - 1)
+    options = {"label": "label", "methods": ["single", "labelled", "two_stage", "joint"], "tol": 1e-4, "max_iter": 3, "nstart": 2}
+    want = {r["method"]: r for r in compare_methods(table, "g", FEATS, **options).collect()}
+    got = {r["method"]: r for r in compare_methods(table, "g", FEATS, task_cells=100, by_passes=True, **options).collect()}
+    assert got.keys() == want.keys()
+    for m, w in want.items():
+        r = got[m]
+        assert not r["failed"] and not w["failed"] and r["g"] == "all"
+        assert all(r[c] == w[c] for c in ("n", "events", "min_size", "min_events", "iterations", "converged", "degenerate")), m
+        assert np.allclose(r["beta"], w["beta"], atol=1e-6) and r["ari"] == pytest.approx(w["ari"])
+
+
 def test_rand_index():
     assert rand_index(np.array([[5, 0], [0, 7]])) == 1.0 and abs(rand_index(np.full((2, 2), 100))) < 0.02 and rand_index(np.array([[4]])) == 1.0
 
