@@ -4,6 +4,7 @@ import warnings
 from collections import Counter
 
 import numpy as np
+import pytest
 from paths import SF
 from pyspark.sql import functions as F
 
@@ -107,3 +108,40 @@ def test_trial_rows_of_a_task_are_bounded(spark, monkeypatch):
     in_task = Counter(r["task"] for r in got)
     assert key(r[:-1] for r in got) == want
     assert len(in_task) > 6 and max(in_task.values()) <= 1000
+
+
+def test_passes_read_blocks_of_rows(study):
+    """A pass hands Python whole blocks, and they hold the very rows of the panel."""
+    from mixhaz.plans import kernels
+
+    df, p = study
+    held = panel.build_panel(df.withColumn("lab", (F.col("f1") > 0).cast("int")), FEATS, FEATS, ident="id", labels=["lab"])
+    assert held.packed.count() < len(p) / 10
+    got = [v for batch in held.packed.toArrow().to_batches() for v in kernels.views(batch)]
+    rows = [v for batch in held.data.toArrow().to_batches() for v in kernels.views(batch)]
+    for name in ("x", "slot", "d", "fold", "u", "label"):
+        assert np.array_equal(*[np.concatenate([getattr(v, name) for v in part]) for part in (got, rows)])
+
+
+def test_restarts_that_have_met_move_once():
+    a, b = np.array([[0.0, 1.0], [2.0, 3.0]]), np.array([[0.0, 1.0], [2.0, 3.5]])
+    centers, size = np.array([a, b, a[::-1], a]), np.array([[4, 6], [4, 6], [6, 4], [5, 5]])
+    assert list(engine.apart(centers, size)) == [0, 1, 3]
+    ends = [(5.0 + 1e-12, 2, "c"), (5.0, 7, "d"), (6.0, 1, "e")]
+    assert engine.best_restart(ends)[1] == 2
+
+
+@pytest.mark.parametrize("k", [2, 3])
+def test_lloyd_by_hand(k):
+    from mixhaz.plans import kernels
+
+    rng = np.random.default_rng(2)
+    z, centers = rng.normal(size=(500, 3)), rng.normal(size=(7, k, 3))
+    v = kernels.View(0, z, np.zeros(500, int), np.zeros(500), None, None, None, None)
+    fit = {"gi": np.arange(3), "gc": np.zeros(3), "gs": np.ones(3), "restarts": centers}
+    got = kernels.lloyd(fit, v)[0].reshape(7, -1)
+    for c, line in zip(centers, got):
+        dist = ((z[:, None] - c) ** 2).sum(axis=2)
+        near = dist.argmin(axis=1)
+        want = [[dist.min(axis=1).sum()], np.bincount(near, minlength=k), *[z[near == j].sum(axis=0) for j in range(k)]]
+        assert np.allclose(line, np.concatenate(want))
