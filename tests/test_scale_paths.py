@@ -145,3 +145,18 @@ def test_lloyd_by_hand(k):
         near = dist.argmin(axis=1)
         want = [[dist.min(axis=1).sum()], np.bincount(near, minlength=k), *[z[near == j].sum(axis=0) for j in range(k)]]
         assert np.allclose(line, np.concatenate(want))
+
+
+def test_labels_of_several_starts_read_the_rows_once_each(study):
+    """Each further column of labels adds one reading of the table, where it doubled them; labels stay the same."""
+    from mixhaz.operators.resample import balanced_labels
+
+    df, _ = study
+    plain = df.select("id")
+    nested = chained = plain
+    for s in range(4):
+        nested = balanced_labels(nested, 2, f"init{s}", "id", f"l{s}")
+        chained = balanced_labels(chained, 2, f"init{s}", "id", f"l{s}", plain)
+    reads = [d._jdf.queryExecution().optimizedPlan().collectLeaves().size() for d in (nested, chained)]
+    assert reads[1] == 5 < reads[0]
+    assert nested.exceptAll(chained).count() == 0
