@@ -160,3 +160,21 @@ def test_labels_of_several_starts_read_the_rows_once_each(study):
     reads = [d._jdf.queryExecution().optimizedPlan().collectLeaves().size() for d in (nested, chained)]
     assert reads[1] == 5 < reads[0]
     assert nested.exceptAll(chained).count() == 0
+
+
+def test_replicates_with_the_same_features_share_their_starts(study):
+    df, _ = study
+    both = df.withColumn("rep", F.lit(0)).unionByName(df.withColumn("rep", F.lit(1)))
+    held = panel.build_panel(both, FEATS, FEATS, ident="id", rep="rep")
+    got = {}
+    for shared in (False, True):
+        held.same_features = shared
+        e = engine.Engine(held)
+        e.grid = grids.DriverGrid(held)
+        fits = [engine.Fit(r, engine.Job(engine.Settings(nstart=4), rep=r), held) for r in (0, 1)]
+        moved, sweep = [], e.sweep
+        e.sweep = lambda running, *a, **k: moved.append(len(running)) or sweep(running, *a, **k)
+        e.start_kmeans(fits)
+        got[shared] = fits[1].centers
+        assert max(moved) == (1 if shared else 2)
+    assert np.allclose(got[False], got[True], atol=1e-12)
