@@ -7,7 +7,8 @@ sort is a range partitioning, every name an order-preserving number of a distinc
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import cut, forget
@@ -20,6 +21,13 @@ def in_order(df: DataFrame, order: list[Column | str], name: str, paths: list[st
     return cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()), paths)
 
 
+def _listed(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A few rows of longs as a table to send to every task. Handed over in Arrow: from a list of tuples, Spark starts Python processes
+    of their own on each executor, which stay there."""
+    columns = zip(*rows) if rows else [[] for _ in names]
+    return F.broadcast(spark.createDataFrame(pa.table([pa.array(x, pa.int64()) for x in columns], names=names)))
+
+
 def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """`df` with its row number in `order`, from 0. Only one count for each partition comes to the driver."""
     rows = in_order(df, order, "_id")
@@ -29,7 +37,7 @@ def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     for p, n in sizes:
         offsets.append((p, total))
         total += n
-    table = F.broadcast(df.sparkSession.createDataFrame(offsets or [(0, 0)], "_p long, _before long"))  # one row for each partition
+    table = _listed(df.sparkSession, offsets, ["_p", "_before"])  # one row for each partition
     return (rows.join(table, part == F.col("_p")).withColumn(name, F.col("_before") + F.col("_id").bitwiseAND((1 << _BITS) - 1))
             .drop("_id", "_p", "_before"))
 
@@ -41,7 +49,7 @@ def _last_before(df: DataFrame, order: list[Column | str], paths: list[str]) ->
     for p, top in sorted((x[0], x[1]) for x in rows.groupBy("_p").agg(F.max("r")).collect()):  # a row for each partition
         carried.append((p, best))
         best = top if best is None else best if top is None else max(best, top)
-    table = F.broadcast(df.sparkSession.createDataFrame(carried or [(0, None)], "_q long, _carry long"))
+    table = _listed(df.sparkSession, carried, ["_q", "_carry"])
     here = Window.partitionBy("_p").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return (rows.withColumn("_seen", F.max("r").over(here)).join(table, F.col("_p") == F.col("_q"))
             .withColumn("pred", F.coalesce("_seen", "_carry")).drop("_p", "_q", "_seen", "_carry"))

@@ -22,6 +22,8 @@ from .tables import attach_few, carried, cut, documents, keyed, small
 from .text import Chunk, as_long, chunks, flat_lists, map_texts, rolling_bytes, sliding_argmin, spread, take
 
 LENGTH, GRAM = 200, 100
+#: bytes of a chunk: a task holds about twenty numbers for each of them at once
+CHUNK = 1 << 18
 #: symbols that the suffix order goes by; the first one alone covers `length` bytes
 PREFIX = 4
 
@@ -60,13 +62,13 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         h, n = np.unique(Blocks(chunk, length, gram).gram, return_counts=True)
         return {"h": as_long(h), "n": n}
 
-    shared = cut(map_texts(texts, grams, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
+    shared = cut(map_texts(texts, grams, "h long, n long", size=CHUNK).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
 
     def places(chunk: Chunk, rows: pa.RecordBatch) -> dict:
         b = Blocks(chunk, length, gram)
         return take(rows, b.text) | {"number": b.number.astype(np.int32), "h": as_long(b.gram)}
 
-    wanted = cut(map_texts(texts, places, "doc_id long, key long, number int, h long").join(small(shared), "h", "left_semi")
+    wanted = cut(map_texts(texts, places, "doc_id long, key long, number int, h long", size=CHUNK).join(small(shared), "h", "left_semi")
                  .groupBy("doc_id", "key").agg(F.collect_set("number").alias("numbers")))
 
     def contents(chunk: Chunk, rows: pa.RecordBatch) -> dict:
@@ -85,7 +87,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                                     "h": as_long(b.gram[at]), "b1": as_long(names[0]), "b2": as_long(names[1]), "again": again, "twice": twice}
 
     blocks = cut(map_texts(attach_few(texts, wanted), contents, "doc_id long, key long, lo int, hi int, h long, b1 long, b2 long, "
-                           "again boolean, twice boolean").dropDuplicates(["key", "lo"]))
+                           "again boolean, twice boolean", size=CHUNK).dropDuplicates(["key", "lo"]))
     # a text's second block of the same content repeats within it, and adds nothing to the order
     symbols = cut(blocks.filter("not again").withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("lo")) - 1))
     ranks = suffix_ranks(symbols.select(F.col("key").alias("sid"), "i", F.col("b1").alias("x")), PREFIX).withColumnRenamed("i", "j")
@@ -111,7 +113,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         return take(rows, text) | {"place": place.astype(np.int32), "w1": as_long(names[0]), "w2": as_long(names[1])}
 
     windows = map_texts(attach_few(texts, ends), prefixes,
-                        "doc_id long, key long, place int, w1 long, w2 long")
+                        "doc_id long, key long, place int, w1 long, w2 long", size=CHUNK)
     many = cut(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"))
     single = windows.join(small(many), ["w1", "w2"], "left_semi").select("doc_id", "key", F.col("place").alias("lo"), F.col("place").alias("hi"))
     runs = blocks.filter("again").select("doc_id", "key", "lo", "hi").unionByName(judged.filter("like").select("doc_id", "key", "lo", "hi")).unionByName(single)
@@ -162,7 +164,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
             kept.append((chunk.data[lo:hi][~g] if n else chunk.data[lo:hi]).tobytes())
         return {"doc_id": rows.column("doc_id"), "key": rows.column("key")} | out | {"kept": pa.array(kept, pa.binary())}
 
-    return map_texts(_spans(keyed(docs), length, gram), clean, "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return map_texts(_spans(keyed(docs), length, gram), clean, "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept binary", size=CHUNK)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -178,7 +180,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         return {"row": batch.column("row"), "text": pa.array(kept, pa.string(), mask=batch.column("text").is_null().to_numpy(zero_copy_only=False))}
 
     schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())])
-    done = map_texts(_spans(rows, length, gram), clean, schema)
+    done = map_texts(_spans(rows, length, gram), clean, schema, size=CHUNK)
     change = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return done.select(carried(docs.columns, change))
 

@@ -38,13 +38,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64, from the zeroth. Those for one usual chunk stay in memory; a longer text makes its own."""
+    """Powers of an odd number and of its inverse modulo 2**64, from the zeroth. As many as the longest usual chunk so far needs stay in
+    memory; a longer text makes its own."""
     key, usual = ("powers", seed), CHUNK_BYTES + (1 << 16)
-    if n <= usual and key in _STATE:
+    if n <= usual and key in _STATE and n <= len(_STATE[key][0]):
         return _STATE[key]
+    size = min(max(1 << (n - 1).bit_length(), 1 << 12), usual) if n <= usual else n
     both = []
     for value in (_ODD[seed], pow(_ODD[seed], -1, 1 << 64)):
-        steps = np.full(max(n, usual), value, dtype=np.uint64)
+        steps = np.full(size, value, dtype=np.uint64)
         steps[0] = 1
         both.append(np.cumprod(steps, out=steps))
     if n <= usual:
@@ -221,17 +223,20 @@ def short_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def map_texts(df: DataFrame, make: Callable[[Chunk, pa.RecordBatch], dict], schema: str, column: str = "text") -> DataFrame:
-    """Rows that `make(chunk, rows of the batch that the chunk holds)` returns as columns."""
+def made(batches: Iterator[pa.RecordBatch], make: Callable[[Chunk, pa.RecordBatch], dict], column: str = "text",
+         size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """What `make(chunk, rows of the batch that the chunk holds)` returns as columns, a batch for each chunk of about `size` bytes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        for chunk in chunks(batch.column(column), size):
+            part = batch.slice(chunk.rows.start, chunk.n)
+            columns = make(chunk, part)
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()],
+                                             names=list(columns))
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            for chunk in chunks(batch.column(column)):
-                part = batch.slice(chunk.rows.start, chunk.n)
-                columns = make(chunk, part)
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()],
-                                                 names=list(columns))
 
-    return short_batches(df).mapInArrow(run, schema)
+def map_texts(df: DataFrame, make: Callable[[Chunk, pa.RecordBatch], dict], schema: str, column: str = "text",
+              size: int = CHUNK_BYTES) -> DataFrame:
+    """Rows that `make(chunk, rows of the batch that the chunk holds)` returns as columns; chunks are of about `size` bytes."""
+    return short_batches(df).mapInArrow(lambda batches: made(batches, make, column, size), schema)

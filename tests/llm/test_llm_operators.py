@@ -8,6 +8,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, score double, n_words int, key string, row int"
 
@@ -449,6 +450,45 @@ class TestSuffixArray:
         rows = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got.collect()]
         assert sorted(rows, key=repr) == expected(brute.repeated_bytes(DOCS, length))
 
+    def test_no_python_for_offsets(self, spark):
+        """The offsets of partitions come as a local table; a list of tuples would start further Python workers on each executor."""
+        from mixhaz.llm import suffix_array as sa
+
+        data = spark.range(50).select((F.col("id") * 7 % 50).alias("r"))
+        found = sa.numbered(data, ["r"], "rank")
+        assert "ExistingRDD" not in found._jdf.queryExecution().toString()
+        assert sorted(map(tuple, found.select("r", "rank").collect())) == [(i, i) for i in range(50)]
+        last = sa._last_before(data, ["r"], [])
+        assert "ExistingRDD" not in last._jdf.queryExecution().toString()
+        assert [r["pred"] for r in last.orderBy("r").collect()] == [None, *range(49)]
+
+    def test_memory_of_a_task(self, spark, monkeypatch):
+        """A batch of 3 MB of texts takes little memory in each of the steps."""
+        import gc
+        import tracemalloc
+
+        from mixhaz.llm import suffix_dedup as sd
+        from mixhaz.llm import text as tx
+
+        peaks, plain = [], sd.map_texts
+
+        def measured(df, make, schema, column="text", **more):
+            batches = tx.short_batches(df).toArrow().combine_chunks().to_batches()
+            monkeypatch.setattr(tx, "_STATE", {})
+            gc.collect()
+            tracemalloc.start()
+            for _ in tx.made(batches, make, column, **more):
+                pass
+            peaks.append(tracemalloc.get_traced_memory()[1] >> 20)
+            tracemalloc.stop()
+            return plain(df, make, schema, column, **more)
+
+        monkeypatch.setattr(sd, "map_texts", measured)
+        common = prose(50, 3000)
+        docs = [(i, prose(100 + i, 9000) + " " + common[i * 10:]) for i in range(48)]
+        assert sd.without_repeats(table(spark, docs)).count() == len(docs)
+        assert len(peaks) == 5 and max(peaks) <= 32, peaks
+
     def test_stage_and_empty(self, spark):
         from mixhaz.llm.suffix_dedup import suffix_dedup, without_repeats
 
