@@ -8,7 +8,7 @@ are put together by ordered aggregation. Words are encoded once per task, as far
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +77,7 @@ class Coder:
         if part:
             yield part
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: Collection[str]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
@@ -107,21 +107,23 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             if coder is None and batch.num_rows:
                 coder = Coder(ranks_path, pattern)
             texts = batch.column("text").to_pylist()
-            part: list[tuple[int, list[str]]] = []
+            part: list[list[str]] = []
+            one: dict[str, str] = {}  # the words of a part, each held once
             out = {"n_tokens": [], "ids": [], "decoded": []}
 
             def emit():
-                coder.learn({w for words in part for w in words})
+                coder.learn(one)
                 for words in part:
                     found = [coder.known[w] for w in words]
                     out["n_tokens"].append(sum(f[2] for f in found))
                     out["ids"].append(" ".join([f[0] for f in found]))
                     out["decoded"].append(b"".join([f[1] for f in found]))
                 part.clear()
+                one.clear()
 
             size = lo = 0
             for i, text in enumerate(texts):
-                part.append(coder.words(text or ""))
+                part.append([one.setdefault(w, w) for w in coder.words(text or "")])
                 size += len(text or "")
                 if size > 4 << 20 or i + 1 == len(texts):
                     emit()

@@ -425,6 +425,37 @@ class TestBytePairs:
         assert {r["doc_id"]: (r["ids"], bytes(r["decoded"])) for r in rows} == {
             i: (" ".join(map(str, code.encode_ordinary(t))), t.encode()) for i, t in docs}
 
+    def test_words_of_a_part_are_held_once(self, spark):
+        """4 MB of few different words take little more than a list of references beside the text."""
+        import tracemalloc
+
+        import pyarrow as pa
+        from mixhaz.llm.byte_pairs import encode_decode, public_vocabulary
+
+        class Docs:
+            sparkSession = spark
+
+            def select(self, *names):
+                return self
+
+            def mapInArrow(self, run, schema):
+                return run
+
+        text = prose(31, 18000)
+        run = encode_decode(Docs(), *public_vocabulary())
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": [text] * 40})
+        small = batch.slice(0, 1)
+
+        def batches():
+            yield small
+            tracemalloc.start()
+            yield batch
+
+        found = [b.num_rows for b in run(batches())]
+        peak = tracemalloc.get_traced_memory()[1] >> 20
+        tracemalloc.stop()
+        assert sum(found) == 41 and peak <= 48, peak
+
 
 class TestSuffixArray:
     def test_order(self, spark):
