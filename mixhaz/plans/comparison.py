@@ -28,6 +28,8 @@ METHODS: dict[str, dict] = {
     "single": {}, "two_stage": {"gamma": 0.0, "conjugate": True}, "labelled": {}, "features_only": {"gamma": 0.0}, "joint": {}, "gated": {"prior": "gate"},
     "features_only_tight": {"gamma": 0.0, "tol": 1e-8, "max_iter": 1000}, "joint_tight": {"tol": 1e-8, "max_iter": 1000},
     "gated_tight": {"prior": "gate", "tol": 1e-8, "max_iter": 1000}, "joint_temp2": {"temp": 2.0}, "joint_normalised": {"normalize_gmm_by_dim": True}}
+#: numbers of a group that one task may hold: its rows reach the task as a table
+GROUP_CELLS = 2_000_000
 FIELDS = [("method", pa.string()), ("n", pa.int64()), ("events", pa.int64()), ("failed", pa.bool_()), ("error", pa.string()), ("objective", pa.float64()),
           ("converged", pa.bool_()), ("iterations", pa.int64()), ("sharpness", pa.float64()), ("ari", pa.float64()), ("min_size", pa.int64()),
           ("min_events", pa.int64()), ("degenerate", pa.bool_()), ("n_zero_fits", pa.int64()), ("guard_bound", pa.bool_()), ("beta", pa.list_(pa.float64()))]
@@ -121,7 +123,7 @@ def compare_methods(df: DataFrame, group: str, cluster_vars: Sequence[str], haza
     hazard_vars = list(cluster_vars if hazard_vars is None else hazard_vars)
     names = list(dict.fromkeys([*cluster_vars, *hazard_vars]))
     base, roles = make_settings(k, **options), (list(cluster_vars), hazard_vars)
-    limit = (tasks.TASK_CELLS if task_cells is None else task_cells) // (len(names) + 5)
+    limit = (GROUP_CELLS if task_cells is None else task_cells) // (len(names) + 5)
     rows = df.select(col(group).alias("_group"), hash_uniform("start", ident).alias("_u"), col(ident).cast("string").alias("_id"), col(time).cast("double").alias("_time"),
                      col(status).cast("int").alias("_status"), F.array(*[col(n).cast("double") for n in names]).alias("_x"),
                      (col(label) if label else F.lit(0)).cast("int").alias("_label"))

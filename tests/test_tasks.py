@@ -94,3 +94,48 @@ def test_many_events_are_needed(study):
 
 def test_size_decides():
     assert tasks.fits_one_task(100, 20, 2000) and not tasks.fits_one_task(101, 20, 2000)
+
+
+def test_draws_of_a_task_are_those_of_the_column(spark):
+    """Identifiers of all lengths, negative, or null; seeds short and too long for one block."""
+    from pyspark.sql import functions as F
+
+    from mixhaz.functions.exprs import hash_uniform
+    from mixhaz.functions.hashed import hash_uniforms
+
+    ids = [0, 7, -3, 12345, 10**9, 2**53, -(2**53)]
+    rows = spark.createDataFrame([(i,) for i in [*ids, None]], "id long")
+    seeds = ["boot1e", "x" * 50]
+    got = rows.select("id", *[hash_uniform(s, F.lit(7), "id").alias(f"u{i}") for i, s in enumerate(seeds)]).collect()
+    known = [r for r in got if r["id"] is not None]
+    lone = [r for r in got if r["id"] is None]
+    found = hash_uniforms([f"{s}|7" for s in seeds], np.array([*(r["id"] for r in known)]))
+    assert found.tolist() == [[r[f"u{i}"] for r in known] for i in range(2)]
+    assert hash_uniforms([f"{s}|7" for s in seeds], np.array([float("nan")])).ravel().tolist() == [lone[0]["u0"], lone[0]["u1"]]
+
+
+def test_replicates_draw_inside_their_task(study, monkeypatch):
+    """No table of (replicate, row): neither written nor dealt out."""
+    from mixhaz.sources import durable
+
+    df, _ = study
+
+    def written(*_):
+        raise AssertionError("a table was written")
+
+    monkeypatch.setattr(durable, "durable", written)
+    monkeypatch.setattr(tasks, "durable", written, raising=False)
+    assert heterogeneity_test(df, FEATS, b=3, seed=7, **SHORT).n_valid == 3
+
+
+def test_rows_come_some_at_a_time(study, monkeypatch):
+    df, _ = study
+    whole = fit_mixture(df, FEATS, **SHORT, k=2)
+    monkeypatch.setattr(tasks, "ROWS_AT_A_TIME", 37)
+    same(whole, fit_mixture(df, FEATS, **SHORT, k=2))
+    a, b = (cross_validate(df, FEATS, ks=(1, 2), nfolds=3, seed=4, task_cells=c, **SHORT) for c in (None, 0))
+    assert np.allclose(a.matrix, b.matrix, rtol=1e-10)
+
+
+def test_orders_at_six_times_fit_one_task():
+    assert tasks.fits_one_task(900_000, 13) and not tasks.fits_one_task(9_000_000, 13)
