@@ -139,3 +139,20 @@ def test_rows_come_some_at_a_time(study, monkeypatch):
 
 def test_orders_at_six_times_fit_one_task():
     assert tasks.fits_one_task(900_000, 13) and not tasks.fits_one_task(9_000_000, 13)
+
+
+@pytest.mark.parametrize("k", [2, 3])
+def test_leaves_assign_like_rows(k):
+    """Rows on the border of two centers, equal rows and a last run that is not full, in either order."""
+    from mixhaz.plans import kernels
+
+    rng = np.random.default_rng(k)
+    z = np.round(rng.normal(size=(3, 1000)), 1)
+    centers = np.round(rng.normal(size=(6, k, 3)), 1)
+    view = kernels.View(0, z.T, np.zeros(1000, int), np.zeros(1000), np.zeros(1000, int), None, None, None)
+    view.memo = {("z", None, None): (None, z.T)}
+    want, _ = kernels.lloyd({"hold": None, "restarts": centers}, view)
+    order = tasks.near_together(z.T)
+    assert sorted(order) == list(range(1000))
+    for rows in (z, z[:, order]):
+        assert np.allclose(kernels.lloyd_by_leaves(centers, kernels.Leaves(rows)), want, rtol=1e-12)
