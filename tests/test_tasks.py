@@ -147,8 +147,8 @@ def test_leaves_assign_like_rows(k):
     from mixhaz.plans import kernels
 
     rng = np.random.default_rng(k)
-    z = np.round(rng.normal(size=(3, 1000)), 1)
-    centers = np.round(rng.normal(size=(6, k, 3)), 1)
+    z = np.round(rng.normal(size=(3, 1000)) * 8) / 8  # products are exact
+    centers = np.round(rng.normal(size=(6, k, 3)) * 4) / 4
     view = kernels.View(0, z.T, np.zeros(1000, int), np.zeros(1000), np.zeros(1000, int), None, None, None)
     view.memo = {("z", None, None): (None, z.T)}
     want, _ = kernels.lloyd({"hold": None, "restarts": centers}, view)
