@@ -1,7 +1,7 @@
 """Comparison of methods on the groups of a given table: one row for each group and method.
 
 Every group (a trial site, a replicate, a period) is a data set of its own. Its rows meet in one task, which fits all methods there with the engine of
-`tasks`; larger groups may go by passes. Nothing of a group passes through the driver, and a group or method that fails gives a row that says so.
+`tasks`; larger groups may go by passes, all of them and all methods together. Nothing of a group passes through the driver, and a group or method that fails gives a row that says so.
 """
 
 from __future__ import annotations
@@ -55,55 +55,114 @@ def _fit_group(x, u, time, status, label, names, roles, base, methods) -> list[d
     return _rows_of(lambda: tasks.LocalEngine(panel, view), panel, n, int(status.sum()), labels, base, methods)
 
 
-def _rows_of(engine_of, panel, n: int, events: int, labels: int, base, methods) -> list[dict]:
+#: methods that end in plain proportional-hazards fits of hard groups, and those of them that need no mixture before
+PLAIN, GIVEN = ("single", "two_stage", "labelled"), ("single", "labelled")
+
+
+def _empty_row(method: str, n: int, events: int) -> dict:
+    return {name: None for name, _ in FIELDS} | {"method": method, "n": n, "events": events, "failed": True}
+
+
+def _given_fit(number: int, method: str, labels: int, base, panel, rep: int) -> Fit:
+    """A fit of hard groups that are known: all rows, or the given labels."""
+    if method == "labelled" and not labels:
+        raise InputError("no labels are given")
+    k = 1 if method == "single" else labels
+    return Fit(number, Job(replace(base, **METHODS[method], k=k, gamma=0.0), rep=rep, label=0 if method == "labelled" else None), panel)
+
+
+def _filled(method: str, f: Fit, sums, labels: int) -> dict:
+    """What a usable fit adds to its row."""
+    beta = f.beta / f.cs[:, None]
+    size, dead, given = sums[:f.k], sums[f.k:2 * f.k], sums[2 * f.k:].reshape(f.k, labels)
+    fitted = bool(f.trace)
+    return {"failed": False, "objective": float(f.final_score) if fitted else None, "converged": bool(f.converged) if fitted else None,
+            "iterations": len(f.trace) if fitted else None, "sharpness": float(f.sharpness) if fitted else None,
+            "ari": None if not labels or method == "single" else float(rand_index(given)),
+            "min_size": int(size.min()), "min_events": int(dead.min()), "degenerate": bool(size.min() < 10 or dead.min() < 5),
+            "n_zero_fits": int((~beta.any(axis=0)).sum()) if method in PLAIN else 0, "guard_bound": bool(f.guards), "beta": beta.T.ravel().tolist()}
+
+
+def _rows_of(engine_of, panel, n: int, events: int, labels: int, base, methods, rep: int = 0) -> list[dict]:
     """A row for each method; `labels` is the number of given labels, 0 without any."""
     rows = []
     for method in methods:
-        row = {name: None for name, _ in FIELDS} | {"method": method, "n": n, "events": events, "failed": True}
+        row = _empty_row(method, n, events)
         rows.append(row)
         try:
             engine = engine_of()
-            st = replace(base, **METHODS[method])
-            if method in ("single", "labelled"):
-                if method == "labelled" and not labels:
-                    raise InputError("no labels are given")
-                k = 1 if method == "single" else labels
-                f = Fit(0, Job(replace(st, k=k, gamma=0.0), label=0 if method == "labelled" else None), panel)
+            if method in GIVEN:
+                f = _given_fit(0, method, labels, base, panel, rep)
                 engine.grid = (DriverGrid if engine.cells(f) <= engine.driver_cells else ClusterGrid)(panel)
             else:
-                f = engine.run([Job(st)])[0]
+                f = engine.run([Job(replace(base, **METHODS[method]), rep=rep)])[0]
                 if f.error is None:
                     f.freeze(pi_min=1e-12)
                     f.mode = "hard"
-            if f.error is None and method in ("single", "two_stage", "labelled"):
+            if f.error is None and method in PLAIN:
                 engine.plain_cox([f])
             if f.error is not None:
                 row["error"] = f.error
                 continue
             with np.errstate(all="ignore"):
                 sums = engine.sweep([f], kernels.group_counts(labels), grids=weighting([f]))[0][f.id]
-            plain = method in ("single", "two_stage", "labelled")
-            beta = f.beta / f.cs[:, None]
-            size, dead, given = sums[:f.k], sums[f.k:2 * f.k], sums[2 * f.k:].reshape(f.k, labels)
-            fitted = bool(f.trace)
-            row |= {"failed": False, "objective": float(f.final_score) if fitted else None, "converged": bool(f.converged) if fitted else None,
-                    "iterations": len(f.trace) if fitted else None, "sharpness": float(f.sharpness) if fitted else None,
-                    "ari": None if not labels or method == "single" else float(rand_index(given)),
-                    "min_size": int(size.min()), "min_events": int(dead.min()), "degenerate": bool(size.min() < 10 or dead.min() < 5),
-                    "n_zero_fits": int((~beta.any(axis=0)).sum()) if plain else 0, "guard_bound": bool(f.guards), "beta": beta.T.ravel().tolist()}
+            row |= _filled(method, f, sums, labels)
         except Exception as e:  # noqa: BLE001  a failed method is a row of the result
             row["error"] = f"{type(e).__name__}: {e}"[:200]
     return rows
 
 
-def _by_passes(df: DataFrame, roles, time: str, status: str, ident: str, label: str | None, base, methods) -> list[dict]:
-    """The rows of one group that is too large for a task: its table stays on the executors, the fits go by passes over it."""
+def _rows_together(engine: Engine, panel, labels: dict[int, int], base, methods) -> dict[int, list[dict]]:
+    """The rows of every group of a panel: the fits of all groups and methods share their passes."""
+    rows = {r: [_empty_row(m, *panel.size(r, None)) for m in methods] for r in panel.reps}
+    place = [(r, i, m) for r in panel.reps for i, m in enumerate(methods)]
+    mixed = [p for p in place if p[2] not in GIVEN]
+    fits = engine.run([Job(replace(base, **METHODS[m]), rep=r) for r, _, m in mixed])
+    done = list(zip(mixed, fits))
+    for p in place:
+        if p[2] in GIVEN:
+            try:
+                done.append((p, _given_fit(engine.numbered, p[2], labels[p[0]], base, panel, p[0])))
+                engine.numbered += 1
+            except InputError as e:
+                rows[p[0]][p[1]]["error"] = f"{type(e).__name__}: {e}"[:200]
+    for (r, i, m), f in done:
+        rows[r][i]["error"] = f.error
+        if f.error is None and m not in GIVEN:
+            f.freeze(pi_min=1e-12)
+            f.mode = "hard"
+    for batch in engine.batches([f for (_, _, m), f in done if m in PLAIN and f.error is None]):
+        engine.plain_cox(batch)
+    usable = [(p, f) for p, f in done if f.error is None]
+    for count in sorted(set(labels.values())):
+        mine = [(p, f) for p, f in usable if labels[p[0]] == count]
+        if mine:
+            with np.errstate(all="ignore"):
+                sums = engine.sweep([f for _, f in mine], kernels.group_counts(count), grids=weighting([f for _, f in mine]))[0]
+            for (r, i, m), f in mine:
+                rows[r][i] |= _filled(m, f, sums[f.id], count)
+    return rows
+
+
+def _by_passes(df: DataFrame, roles, time: str, status: str, ident: str, label: str | None, base, methods) -> dict[int, list[dict]]:
+    """The rows of groups (numbered in `_rep`) that are too large for a task: their table stays on the executors, the fits go by passes over it.
+
+    Fits that share passes also share an exception: each group and method is then fitted alone.
+    """
     names = list(dict.fromkeys([*roles[0], *roles[1]]))
     given = [label] if label else []
-    panel = build_panel(with_row_id(df, [*names, time, status, *given], ident), *roles, time, status, ROW_ID, labels=given)
+    panel = build_panel(with_row_id(df, [*names, time, status, *given, "_rep"], ident), *roles, time, status, ROW_ID, rep="_rep", labels=given)
     try:
-        labels = panel.data.agg(F.max(F.col("label")[0])).first()[0] + 1 if label else 0
-        return _rows_of(lambda: Engine(panel), panel, *panel.size(0, None), labels, base, methods)
+        top = {r["rep"]: r["top"] for r in panel.data.groupBy("rep").agg(F.max(F.col("label")[0]).alias("top")).collect()} if label else {}
+        labels = {r: top[r] + 1 if label else 0 for r in panel.reps}
+        engine = Engine(panel)
+        on_driver = all(m < engine.driver_cells // ((2 + len(panel.ci)) * (base.k + 1)) for m in panel.grid_size.values())
+        if on_driver:
+            try:
+                return _rows_together(engine, panel, labels, base, methods)
+            except Exception:  # noqa: BLE001  one of many: found by fitting each alone
+                pass
+        return {r: _rows_of(lambda: Engine(panel), panel, *panel.size(r, None), labels[r], base, methods, r) for r in panel.reps}
     finally:
         panel.release()
 
@@ -114,7 +173,7 @@ def compare_methods(df: DataFrame, group: str, cluster_vars: Sequence[str], haza
     """One row per (group, method): sizes, objective, convergence, adjusted Rand index against `label` (0, 1, ...; optional), smallest cluster, beta (cluster by
     cluster, per unit of the feature).
 
-    Groups of more than `task_cells` numbers are not for one task: with `by_passes` they are fitted one after another by passes over the cluster, else
+    Groups of more than `task_cells` numbers are not for one task: with `by_passes` they are fitted together by passes over the cluster, else
     their rows say so. Rows with a null group form a group.
     """
     unknown = [m for m in methods if m not in METHODS]
@@ -145,11 +204,12 @@ def compare_methods(df: DataFrame, group: str, cluster_vars: Sequence[str], haza
     done = fits.groupBy("_group").applyInArrow(run, f"_group {kind}, {_DDL}")
     if by_passes:
         # at most one group for each `limit` rows of the table
+        keys = [g for g, in large.select("_group").collect()]
         more = []
-        for g, in large.select("_group").collect():
-            part = df.where(col(group).eqNullSafe(F.lit(g)))
-            found = _by_passes(part, roles, time, status, ident, label, base, methods)
-            more += [(g, *(f[name] for name, _ in FIELDS)) for f in found]
+        if keys:
+            number = F.coalesce(*[F.when(col(group).eqNullSafe(F.lit(g)), F.lit(i)) for i, g in enumerate(keys)])
+            found = _by_passes(df.withColumn("_rep", number).where("_rep is not null"), roles, time, status, ident, label, base, methods)
+            more = [(g, *(f[name] for name, _ in FIELDS)) for i, g in enumerate(keys) for f in found[i]]
         return done.unionByName(df.sparkSession.createDataFrame(more, done.schema)).withColumnRenamed("_group", group) if more else done.withColumnRenamed("_group", group)
     told = large.select("_group", F.explode(F.array(*map(F.lit, methods))).alias("method"), "n", "events", F.lit(True).alias("failed"),
                         F.lit(f"more than {limit} rows: not for one task").alias("error"))

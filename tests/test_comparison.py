@@ -61,6 +61,24 @@ def test_large_groups_by_passes(study):
         assert np.allclose(r["beta"], w["beta"], atol=1e-6) and r["ari"] == pytest.approx(w["ari"])
 
 
+def test_large_groups_share_their_passes(study, monkeypatch):
+    """All large groups (one with a null key) and methods meet in one panel; a method without labels fails alone."""
+    from mixhaz.plans import comparison
+
+    df, _ = study
+    table = df.withColumn("g", F.when(F.col("id") % 2 == 0, "even"))
+    options = {"methods": ["single", "labelled", "two_stage", "features_only", "gated"], "tol": 1e-4, "max_iter": 2, "nstart": 2}
+    want = {(r["g"], r["method"]): r for r in compare_methods(table, "g", FEATS, **options).collect()}
+    built, build = [], comparison.build_panel
+    monkeypatch.setattr(comparison, "build_panel", lambda *a, **o: (built.append(1), build(*a, **o))[1])
+    got = {(r["g"], r["method"]): r for r in compare_methods(table, "g", FEATS, task_cells=100, by_passes=True, **options).collect()}
+    assert built == [1] and got.keys() == want.keys() and len(got) == 10
+    for key, w in want.items():
+        r = got[key]
+        assert all(r[c] == w[c] for c in ("n", "events", "failed", "error", "min_size", "iterations", "converged")), key
+        assert w["failed"] == (key[1] == "labelled") and (w["failed"] or np.allclose(r["beta"], w["beta"], atol=1e-6))
+
+
 def test_rand_index():
     assert rand_index(np.array([[5, 0], [0, 7]])) == 1.0 and abs(rand_index(np.full((2, 2), 100))) < 0.02 and rand_index(np.array([[4]])) == 1.0
 
