@@ -178,3 +178,30 @@ def test_replicates_with_the_same_features_share_their_starts(study):
         got[shared] = fits[1].centers
         assert max(moved) == (1 if shared else 2)
     assert np.allclose(got[False], got[True], atol=1e-12)
+
+
+def test_seeds_that_start_alike_are_fitted_once(study, monkeypatch):
+    """Starts whose k-means ends in the same clusters, in whatever order, share one EM; each gets what it gives alone."""
+    from mixhaz.plans.fitting import make_settings
+
+    df, _ = study
+    held = panel.build_panel(df, FEATS, FEATS, ident="id")
+    st = make_settings(2, tol=1e-6, max_iter=3, nstart=4)
+    ran = []
+    settle, loop = engine.Engine.start_kmeans, engine.Engine.loop
+
+    def turned(self, fits):
+        settle(self, [f for f in fits if f.job.seed == 1])
+        for f in fits:
+            if f.job.seed == 2:
+                f.centers = fits[0].centers[::-1] + 1e-13
+            elif f.job.seed == 3:
+                f.centers = fits[0].centers + 0.1
+
+    monkeypatch.setattr(engine.Engine, "start_kmeans", turned)
+    monkeypatch.setattr(engine.Engine, "loop", lambda self, fits: (ran.append(len(fits)), loop(self, fits))[1])
+    a, b, c = engine.Engine(held).run([engine.Job(st, seed=s) for s in (1, 2, 3)])
+    lone, = engine.Engine(held).run([engine.Job(st, seed=1)])
+    held.release()
+    assert ran == [2, 1] and [f.job.seed for f in (a, b, c)] == [1, 2, 3] and b.id != a.id
+    assert a.final_score == b.final_score == pytest.approx(lone.final_score, rel=1e-12) and np.array_equal(a.beta, b.beta)
