@@ -49,8 +49,9 @@ def _fit_group(x, u, time, status, label, names, roles, base, methods) -> list[d
     n = len(time)
     fold = np.zeros(n, np.int32)
     data = tasks.Features(np.arange(n), u, x, names, None if label is None else label[:, None], fold)
+    data, time, status = tasks.in_runs(data, time, status, roles)
     times, view = tasks.local_view(data, 0, time, status, fold)
-    panel = tasks.LocalPanel(names, *roles, x, status, fold, times)
+    panel = tasks.LocalPanel(names, *roles, data.x, status, fold, times)
     labels = 0 if label is None else int(label.max()) + 1
     return _rows_of(lambda: tasks.LocalEngine(panel, view), panel, n, int(status.sum()), labels, base, methods)
 

@@ -156,3 +156,18 @@ def test_leaves_assign_like_rows(k):
     assert sorted(order) == list(range(1000))
     for rows in (z, z[:, order]):
         assert np.allclose(kernels.lloyd_by_leaves(centers, kernels.Leaves(rows)), want, rtol=1e-12)
+
+
+def test_fits_in_tasks_look_at_runs_of_like_rows(study, monkeypatch):
+    """Every fit inside a task gets its rows in runs; without them k-means by leaves is slower than by rows."""
+    from mixhaz.plans import kernels
+
+    df, _ = study
+    seen, order = [], tasks.near_together
+    monkeypatch.setattr(tasks, "near_together", lambda x: (seen.append(len(x)), order(x))[1])
+    fit_mixture(df, FEATS, **SHORT, k=2)
+    assert seen == [300]
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(5000, 3))
+    reach = [kernels.Leaves(z.T).reach.mean() for z in (x, x[order(x)])]
+    assert reach[1] < reach[0] / 2
